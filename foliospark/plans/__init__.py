@@ -1 +1 @@
-"""See the modules of this package."""
+"""Named queries over the tables, and the SQL they must agree with."""
