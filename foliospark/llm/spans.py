@@ -1,22 +1,22 @@
 """Long exact spans shared between records.
 
-A run of at least ``span`` characters that two records share holds the same least
-hash of its 60-grams in both (winnowing), so a text gives one fingerprint for about
-every 31 characters, and no shared run escapes. Fingerprints that occur in more
-than one record mark the only windows of ``span`` characters that can be shared;
-those windows are confirmed by a second, independent 64-bit hash. Confirmed windows
-that touch are passages. For the passages, sharded Aho-Corasick automata locate
-every occurrence, character for character, in the texts routed to the shard by
-their fingerprints (``occurrences``).
-
-All groupings are on hashes and combine before the shuffle (least and greatest
-record), so a passage that a third of all records share is no hot group.
+A run of at least ``span`` characters that two records share holds, in both, the
+same phrase of half that length: the one of least hash (winnowing). A text has one
+such phrase for about every 31 characters, and no shared run escapes. Phrases that
+occur in more than one record are confirmed by grouping their hashes, which combine
+before the shuffle (least and greatest record), so that a phrase of a third of all
+records is no hot group. Texts that hold confirmed phrases are streamed through
+Aho-Corasick automata, each compiled for a shard of texts from the phrases routed to
+it, which locate every occurrence, character for character. Only windows around
+occurrences can be shared; a second, independent 64-bit hash of the whole window
+tells which are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -30,6 +30,8 @@ _powers: dict[tuple[int, int], np.ndarray] = {}
 _ONES = np.uint64(2**64 - 1)
 #: Characters hashed at once.
 CHUNK = 1_000_000
+#: Characters of the texts that one automaton is compiled for: at most about a 31st as many phrases.
+SHARD = 250_000
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -77,14 +79,32 @@ class Joined:
         self.lens = np.array([len(t) for t in texts], np.int64)
         self.codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         self.starts = np.cumsum(self.lens) - self.lens
-        k = span // 2
-        self.mark = _least(_grams(self.codes, k, _BASES[0]), span - k + 1)
+        self.k = k = span // 2
+        self.grams = _grams(self.codes, k, _BASES[0])
+        self.mark = _least(self.grams, span - k + 1)
         of = np.repeat(np.arange(len(texts)), self.lens)[: len(self.mark)]
         inside = np.arange(len(self.mark)) + span <= (self.starts + self.lens)[of]
         self.at = np.flatnonzero(inside)
         self.of = of[inside]
         self.span = span
 
+    def near(self, texts: list[str], wanted: np.ndarray) -> np.ndarray:
+        """Which windows hold an occurrence of a phrase whose hash is wanted."""
+        joined = "".join(texts)
+        phrases = {joined[p : p + self.k] for p in np.flatnonzero(np.isin(self.grams, wanted)).tolist()}
+        cover = np.zeros(len(self.codes) + 1, np.int32)
+        if phrases:
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+            for phrase in phrases:
+                automaton.add_word(phrase)
+            automaton.make_automaton()
+            for start, text in zip(self.starts.tolist(), texts):
+                ends = np.fromiter((end for end, _ in automaton.iter(text)), np.int64)
+                at = start + ends - (self.k - 1)
+                np.add.at(cover, np.maximum(at - (self.span - self.k), start), 1)
+                np.add.at(cover, at + 1, -1)
+        return np.cumsum(cover)[self.at] > 0
+
     def windows(self) -> np.ndarray:
         return _grams(self.codes, self.span, _BASES[1])[self.at]
 
@@ -126,10 +146,10 @@ def _windows(span: int):
         for batch in batches:
             rec, tid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             texts, lists = batch.column(2).to_pylist(), batch.column(3)
-            for a, b in _packed([len(t) for t in texts]):
+            for a, b in _packed([len(t) for t in texts], SHARD):
                 j = Joined(texts[a:b], span)
                 wanted = np.unique(lists[a:b].flatten().to_numpy().view(np.uint64))
-                keep = np.isin(j.mark[j.at], wanted)
+                keep = j.near(texts[a:b], wanted)
                 of = j.of[keep]
                 pos = (j.at[keep] - j.starts[of]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([_signed(j.windows()[keep]), pa.array(rec[a:b][of]), pa.array(tid[a:b][of]), pa.array(pos)], ["w", "rec", "tid", "pos"])
