@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import registry
+from . import answers, documents, registry, relational, search
 
-MODULES = (registry,)
-FLAGSHIP = "p6_found"
+MODULES = (registry, answers, documents, search, relational)
+FLAGSHIP = "paired_tests"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
