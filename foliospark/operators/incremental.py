@@ -34,6 +34,7 @@ def changed_per_run(readings: DataFrame, runs: DataFrame) -> DataFrame:
     reach = F.max("last_load").over(Window.orderBy("run_no"))
     bounds = ok.select("run_no", reach.alias("to")).withColumn("from", F.coalesce(F.lag("to").over(Window.orderBy("run_no")), F.lit(-(2**31))))
     slots = F.broadcast(bounds.where(F.col("to") > F.col("from")))  # a row per run of a small table
+    readings = readings.select("filename", "load_no", "exported_at", *STATE)
     seen = readings.where("filename is not null and load_no is not null").join(slots, (F.col("load_no") > F.col("from")) & (F.col("load_no") <= F.col("to")))
     latest = F.max(F.struct("exported_at", "load_no", *STATE))
     listing = seen.groupBy("filename", "run_no").agg(latest.alias("r"))
