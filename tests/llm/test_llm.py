@@ -288,7 +288,13 @@ def test_round_trips(codec):
     assert n > 0 and out == f"fine {text} fine"
 
 
-@pytest.mark.parametrize("text", SOUND)
+def test_cyrillic_in_another_cyrillic_encoding():
+    text = "Метод теряет около 5 процента заголовков. Мы проверили страницы"
+    assert garble.mend("x " + text.encode("koi8-r").decode("cp1251"))[0] == "x " + text
+    assert garble.mend("x " + text.encode("cp1251").decode("koi8-r"))[0] == "x " + text
+
+
+@pytest.mark.parametrize("text", [*SOUND, "Метод теряет ОКОЛО; 5 процента ЗАГОЛОВКОВ. мЕТОД; и", "1 ВВЕДЕНИЕ В МЕТОДЫ ОЦЕНКИ ПОИСКА"])
 def test_sound_texts_stay(text):
     assert garble.mend(text) == (text, 0)
 
