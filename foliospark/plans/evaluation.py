@@ -36,8 +36,8 @@ def opening_blocks(spark, d):
     """The most descriptive block of each paper: abstract, introduction, anything, references; long ones first."""
     b = B.carry(blocks(spark, d)).where((F.col("type") == "paragraph") & B.said(F.col("text")))
     s = F.coalesce("section", F.lit(""))
-    bad = r"(?i)reference|bibliograph|acknowledg|appendix|index terms|table of contents|continued on next page"
-    kind = F.when(s.rlike("(?i)abstract"), 0).when(s.rlike("(?i)introduction|overview|background"), 1).when(s.rlike(bad) | F.substring("text", 1, 200).rlike(bad), 9).otherwise(3)
+    bad = T.OPENING_BAD
+    kind = F.when(s.rlike(T.OPENING_GOOD), 0).when(s.rlike(T.OPENING_OK), 1).when(s.rlike(bad) | F.substring("text", 1, 200).rlike(bad), 9).otherwise(3)
     key = F.struct(kind.alias("kind"), F.when(F.length("text") >= 400, 0).otherwise(1).alias("short"), F.coalesce("page", F.lit(0)).alias("page"), (-F.length("text")).alias("len"), "block_ix")
     return b.groupBy("stem").agg(F.min(key).alias("k")).select("stem", "k.block_ix", "k.kind")
 
@@ -129,7 +129,7 @@ QUERIES = {f.__name__: f for f in _FUNCS}
 from .answers import _H, _R  # noqa: E402
 from .documents import _B, _CARRY  # noqa: E402
 
-_BAD = "(?i)reference|bibliograph|acknowledg|appendix|index terms|table of contents|continued on next page"
+_BAD = T.OPENING_BAD
 SQL = {
     "number_preservation": f"WITH {_B}, n AS (SELECT DISTINCT stem, type = 'table' AS t, unnest(list_distinct(list_transform(regexp_extract_all(text, '({T.NUMBER})', 1), lambda x: CAST(replace(x, ',', '') AS DOUBLE)))) AS x FROM b WHERE text IS NOT NULL AND type IS NOT NULL UNION SELECT DISTINCT stem, NULL, unnest(list_distinct(list_transform(regexp_extract_all(text, '({T.NUMBER})', 1), lambda x: CAST(replace(x, ',', '') AS DOUBLE)))) FROM b WHERE text IS NOT NULL AND type IS NULL), g AS (SELECT stem, x, bool_or(t) AS t, bool_or(NOT t) AS o FROM n GROUP BY ALL) SELECT stem, count(*) AS numbers, count(*) FILTER (o) AS named FROM g WHERE t GROUP BY stem",
     "opening_blocks": f"WITH {_CARRY}, o AS (SELECT stem, block_ix, CASE WHEN regexp_matches(coalesce(section, ''), '(?i)abstract') THEN 0 WHEN regexp_matches(coalesce(section, ''), '(?i)introduction|overview|background') THEN 1 WHEN regexp_matches(coalesce(section, ''), '{_BAD}') OR regexp_matches(substring(text, 1, 200), '{_BAD}') THEN 9 ELSE 3 END AS kind, CASE WHEN length(text) >= 400 THEN 0 ELSE 1 END AS short, coalesce(page, 0) AS pg, length(text) AS len FROM k WHERE type = 'paragraph' AND trim(coalesce(text, '')) <> '') SELECT stem, block_ix, kind FROM o QUALIFY row_number() OVER (PARTITION BY stem ORDER BY kind, short, pg, len DESC, block_ix) = 1",
