@@ -4,18 +4,24 @@ A transformation is a pair (encoding the text was read in, encoding it is in). W
 it does to a word is known once the word's bytes are: the garbled word taken back
 through it must be a word that stands, sound, elsewhere in the corpus. So the words
 with letters beyond ASCII are joined on what is left of them without those letters
-(their near-twins), the candidates are aligned character by character, and the
-transformations that explain enough twins are learned. The learned ones are then
-applied to every record, again while something comes off (text garbled twice).
+(their near-twins), and the transformations that explain enough twins are learned.
+The learned ones are then applied to every record, again while something comes off
+(text garbled twice). Words in Latin letters that were read in another one-byte
+encoding keep their length: they are aligned character by character with their
+twins, the substitutions are counted for every pair of one-byte encodings, and the
+pairs learned are applied to the documents that hold confirmed words.
 Replacement characters have lost their byte; such words are restored from the one
 sound twin that fits all around the gaps, if there is one.
 """
 
 from __future__ import annotations
 
+import pkgutil
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from encodings import __path__ as ENCODINGS
 from functools import lru_cache
 
 import pyarrow as pa
@@ -215,11 +221,10 @@ def _bare(word: str) -> str:
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct words of a batch that hold letters beyond ASCII, with what is left of them without those."""
-    edge = ".,;:!?()[]{}\"'*_`<>|=#"
     for batch in batches:
         forms: Counter = Counter()
         for text in batch.column(0).to_pylist():
-            forms.update(w.strip(edge) for w in text.split() if not w.isascii())
+            forms.update(w.strip(EDGE) for w in text.split() if not w.isascii())
         words = [w for w in forms if 2 <= len(w) <= 60]
         yield pa.RecordBatch.from_arrays([pa.array([_bare(w) for w in words], pa.string()), pa.array(words, pa.string()), pa.array([forms[w] for w in words], pa.int64())], ["bare", "form", "n"])
 
@@ -268,12 +273,158 @@ def learned(words: DataFrame, least_twins: int = 1, least_share: float = 0.02) -
     return tuple(c for c in MISREAD if c in names), tuple(p for p in ONE_BYTE + CYRILLIC_PAIRS if f"{p[0]}>{p[1]}" in names)
 
 
+EDGE = ".,;:!?()[]{}\"'*_`<>|=#"
+WORD = re.compile(r"[^\s" + re.escape(EDGE) + "]+")
+#: The pairs named first win where several explain the same words.
+FIRST = ("cp1252", "cp1250", "cp1251", "latin-1", "iso8859-2", "iso8859-15")
+
+
+@lru_cache(None)
+def one_byte() -> tuple[str, ...]:
+    """Every one-byte encoding of the library that agrees with ASCII, once each."""
+    seen, out = set(), []
+    for codec in (*FIRST, *sorted(m.name for m in pkgutil.iter_modules(ENCODINGS))):
+        try:
+            if bytes(range(128)).decode(codec) != "".join(map(chr, range(128))) or len(bytes(range(128, 256)).decode(codec, "replace")) != 128:
+                continue
+            key = tuple(table(codec).items())
+        except (LookupError, UnicodeError, TypeError):
+            continue
+        if key not in seen and len(key) == 128:
+            seen.add(key), out.append(codec)
+    return tuple(out)
+
+
+@lru_cache(None)
+def grid() -> tuple[tuple[str, str], ...]:
+    """All pairs (read in, really in) of one-byte encodings."""
+    return tuple((a, b) for a in one_byte() for b in one_byte() if a != b)
+
+
+@lru_cache(None)
+def reading(read: str, real: str) -> dict[str, str]:
+    """Characters as they were read, to what they were."""
+    of = {b: ch for ch, b in table(real).items()}
+    return {ch: of[b] for ch, b in table(read).items()}
+
+
+@lru_cache(None)
+def _explains() -> dict[tuple[str, str], int]:
+    """(character read, character meant): the pairs of the grid that explain it, as bits."""
+    out: dict[tuple[str, str], int] = {}
+    for k, (a, b) in enumerate(grid()):
+        for sub in reading(a, b).items():
+            out[sub] = out.get(sub, 0) | 1 << k
+    return out
+
+
+def latin(word: str) -> bool:
+    """Nothing but Latin letters, with apostrophes and hyphens between them."""
+    return all((c.isalpha() and (c.isascii() or unicodedata.name(c, "").startswith("LATIN") and c not in "ªº")) or c in "'’-" for c in word) and any(c.isalpha() for c in word)
+
+
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each form and sound twin the pairs of encodings that turn all of the one into the other."""
+    for batch in batches:
+        rows: list[tuple] = []
+        for form, sound, n, m in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            mixed = not latin(form)
+            if not latin(sound) or len(form) != len(sound) or (not mixed and m < 10 * n):
+                continue
+            bits = -1
+            for sub in zip(form, sound):
+                if not sub[0].isascii():
+                    bits &= _explains().get(sub, 0)
+            subs = sorted({a + b for a, b in zip(form, sound) if a != b})
+            if bits > 0 and (mend(form)[1] or mend(sound)[1]):  # a sequence of UTF-8
+                continue
+            while bits > 0:
+                low = bits & -bits
+                rows.append((form, mixed, low.bit_length() - 1, subs))
+                bits ^= low
+        cols = list(zip(*rows)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.bool_(), pa.int32(), pa.list_(pa.string())))], ["form", "mixed", "pair", "subs"])
+
+
+def aligned(words: DataFrame) -> DataFrame:
+    """form, mixed, pair (of ``grid``), subs: forms with a more frequent twin that has other letters beyond ASCII in the same places."""
+    w = words.where(~F.contains("form", F.lit(LOST)) & F.col("bare").rlike("[A-Za-z].*[A-Za-z]")).select("form", "n", F.regexp_replace("form", r"[^\x00-\x7f]", "\u0001").alias("mask"))
+    sound = w.select("mask", F.col("form").alias("sound"), F.col("n").alias("m"))
+    two = w.join(sound, "mask").where("form <> sound and m > n").select("form", "sound", "n", "m")
+    return two.mapInArrow(_align, "form string, mixed boolean, pair int, subs array<string>").distinct()
+
+
+def mappings(twins: DataFrame, least: int = 3) -> dict[int, set[str]]:
+    """Pairs of ``grid`` that explain ``least`` forms by ``least`` substitutions, most forms first, with the characters they explain.
+
+    At most one row per pair and character comes to the driver.
+    """
+    n = twins.groupBy("pair").agg(F.count_distinct("form").alias("forms"))
+    chars = twins.select("pair", F.explode("subs").alias("sub")).groupBy("pair").agg(F.collect_set("sub").alias("subs"))
+    rows = n.join(chars, "pair").where((F.col("forms") >= least) & (F.size("subs") >= least)).collect()
+    return {r["pair"]: {x[0] for x in r["subs"]} for r in sorted(rows, key=lambda r: (-r["forms"], r["pair"]))}
+
+
+def confirmed(src: DataFrame, twins: DataFrame, known: dict[int, set[str]]) -> DataFrame:
+    """h (hash of a text), pair, confirmed: the texts that hold confirmed words, and the pair that explains most of them.
+
+    One word that no single script explains is enough; of words in Latin letters it takes two, with two substitutions.
+    """
+    chars = frozenset().union(*known.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, form = [], []
+            for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if chars.isdisjoint(text):
+                    continue
+                odd = {x for w in text.split() if not w.isascii() and not chars.isdisjoint(w) and 2 <= len(x := w.strip(EDGE)) <= 60}
+                at += [h] * len(odd)
+                form += odd
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(form, pa.string())], ["h", "form"])
+
+    order = F.create_map(*[F.lit(x) for k, p in enumerate(known) for x in (p, -k)])
+    held = src.select("h", "text").mapInArrow(run, "h bigint, form string").distinct()
+    hits = held.join(twins.where(F.col("pair").isin(*known)), "form")
+    g = hits.groupBy("h", "pair").agg(F.collect_set("form").alias("confirmed"), F.max("mixed").alias("mixed"), F.size(F.array_distinct(F.flatten(F.collect_list("subs")))).alias("subs"))
+    g = g.where("mixed or (size(confirmed) >= 2 and subs >= 2)")
+    best = F.max_by(F.struct("pair", "confirmed"), F.struct(F.size("confirmed"), order[F.col("pair")])).alias("b")
+    return g.groupBy("h").agg(best).select("h", "b.pair", "b.confirmed")
+
+
+def _mend_words(text: str, pair: tuple[str, str], known: set[str]) -> tuple[str, int]:
+    """Text with the confirmed words read again, and those beside that only this makes words in Latin letters.
+
+    Short words without a plain letter go with them, unless the text holds more Cyrillic words than odd ones.
+    """
+    to, done = reading(*pair), 0
+    words = WORD.findall(text)
+    odd = sum(w in known for w in words)
+    alone = sum(len(w) >= 3 and bool(CYRILLIC_WORD.fullmatch(w)) for w in words) < odd
+
+    def back(m: re.Match) -> str:
+        nonlocal done
+        w = m.group()
+        if w.isascii():
+            return w
+        out = "".join(c if c.isascii() else to.get(c, c) for c in w)
+        if out == w or not (w in known or (not latin(w) and latin(out) and (re.search("[A-Za-z]", w) or alone and len(w) <= 2 and w.isalpha()))):
+            return w
+        done += 1
+        return out
+
+    return WORD.sub(back, text), done
+
+
 def _apply(codecs: tuple[str, ...], pairs: tuple[tuple[str, str], ...], with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, count, lost, mended = [], [], [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
+            for k, (text, pair, known) in enumerate(zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))):
                 out, n = mend(text, codecs, pairs)
+                if pair is not None:
+                    out, more = _mend_words(out, grid()[pair], set(known))
+                    n += more
                 gone = out.count(LOST)
                 if n or gone:
                     keep.append(k), count.append(n), lost.append(gone), mended.append(out)
@@ -296,6 +447,13 @@ def garbled(documents: DataFrame, with_text: bool = False, words: DataFrame | No
     codecs, pairs = learned(words)
     kind = documents.schema["doc_id"].dataType.simpleString()
     src = documents.where(F.col("text").rlike(r"[^\x00-\x7f]")).select("doc_id", "text")
+    twins = written(aligned(words))
+    known = mappings(twins)
+    if known:
+        src = src.withColumn("h", F.xxhash64("text"))
+        src = src.join(written(confirmed(src, twins, known)), "h", "left").select("doc_id", "text", "pair", "confirmed")
+    else:
+        src = src.withColumns({"pair": F.lit(None).cast("int"), "confirmed": F.lit(None).cast("array<string>")})
     return src.mapInArrow(_apply(codecs, pairs, with_text), f"doc_id {kind}, passages int, lost int" + ", restored string" * with_text)
 
 

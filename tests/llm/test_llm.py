@@ -310,6 +310,16 @@ def test_garbled_table(spark):
     assert garble.garbled(d.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("read, real", [("cp1251", "cp1252"), ("cp1250", "cp1252"), ("mac_roman", "cp1252"), ("cp1252", "cp1250")])
+def test_one_byte_misreadings_are_learned_from_twins(spark, read, real):
+    text = "więc się który także dłużej między później" if real == "cp1250" else "duração não última divisão método iterações Blöcke fällt über größer même pequeña"
+    bad = "".join(garble.reading(real, read).get(c, c) for c in text)
+    sound = ["Модель обучена на BERTа и pdfом", "λ(x) γ(x) max(η) max(α)", "côté esté", "cóté está"]
+    d = spark.createDataFrame([(0, bad)] + [(k, text) for k in range(1, 13)] + [(20 + k, t) for k, t in enumerate(sound)], "doc_id bigint, text string")
+    assert [(r.doc_id, r.restored) for r in garble.restored(d).collect()] == [(0, text)]
+
+
+
 # ---- 1
 
 
