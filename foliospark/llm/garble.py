@@ -47,7 +47,6 @@ VOWELS = frozenset("аеёиоуыэюя")
 #: Russian in one 8-bit encoding read in another, still in Cyrillic letters: the case comes out turned over.
 CYRILLIC_PAIRS = (("cp1251", "koi8-r"), ("koi8-r", "cp1251"))
 CYRILLIC_WORD = re.compile("[А-яЁё]+")
-PROBES = 400
 
 
 @lru_cache(None)
@@ -89,16 +88,16 @@ def unread(run: str, codec: str, known: bool = False) -> str | None:
 
 def _mend_sequences(text: str, codecs: tuple[str, ...]) -> tuple[str, int]:
     """Text with all garbled UTF-8 sequences taken back, and how many there were; the encoding that explains most goes first."""
-    runs = RUN.findall(text)
+    runs = Counter(RUN.findall(text))
     if not runs:
         return text, 0
     score: Counter = Counter()
     for codec in codecs:
         pat = sequences(codec)
-        for run in runs[:PROBES]:
+        for run, k in runs.items():
             for m in pat.finditer(run):
                 if unread(m.group(), codec) is not None:
-                    score[codec] += len(m.group())
+                    score[codec] += k * len(m.group())
     done = 0
     order = {c: k for k, c in enumerate(codecs)}
     for codec in sorted(score, key=lambda c: (-score[c], order[c])):
@@ -123,20 +122,20 @@ def _russian(word: str) -> bool:
 
 def _mend_letters(text: str, pairs: tuple[tuple[str, str], ...]) -> tuple[str, int]:
     """Russian in one 8-bit encoding that was read in another: words of nothing but accented letters."""
-    words = LATIN_WORD.findall(text)
+    words = Counter(LATIN_WORD.findall(text))
     if not words:
         return text, 0
     best, most = None, 0
     for read, real in pairs:
         n = 0
-        for w in words[:PROBES]:
+        for w, k in words.items():
             try:
-                n += _russian(w.encode(read).decode(real))
+                n += k * _russian(w.encode(read).decode(real))
             except (UnicodeEncodeError, UnicodeDecodeError):
                 pass
         if n > most:
             best, most = (read, real), n
-    if best is None or most * 2 <= min(len(words), PROBES):
+    if best is None or most * 2 <= words.total():
         return text, 0
     done = 0
 

@@ -299,6 +299,14 @@ def test_sound_texts_stay(text):
     assert garble.mend(text) == (text, 0)
 
 
+def test_garbled_passage_far_down():
+    sound = " ".join(f"модель{k} 数据" for k in range(600))
+    bad = "naïve façade".encode().decode("cp1252")
+    assert garble.mend(f"{sound} {bad}") == (f"{sound} naïve façade", 2)
+    head, word = "ÀÉÎ " * 150 + "être " * 100, "модель данные обучение точность ".encode("cp1251").decode("cp1252")
+    assert "модель данные" in garble.mend(head + word * 150)[0]
+
+
 def test_garbled_table(spark):
     good = ["El equipo comparó párrafos é então", "Авторы сравнили абзацев и показали что метод", "sólo párrafos"]
     bad = ["El equipo comparÃ³ pÃ¡rrafos", "Ìåòîä ïîêàçàëè ÷òî ìåòîä", "El equipo compar\ufffd p\ufffdrrafos", "sÃƒÂ³lo pÃƒÂ¡rrafos"]
