@@ -5,13 +5,15 @@ templates and clustered by MinHash over five-word shingles, each link verified
 (Jaccard 0.8 or more). A template used under unrelated prompts, and of whose
 members most decline, is a refusal template; the members of its cluster decline.
 Copy, language and termination checks label the remaining defects. Whether a
-sentence without a stop is whole is looked up in the corpus: among the patterns
-(function words, numbers, placeholders) of all sentences that end with one.
+sentence without a stop is whole is decided by counts over the sentences of the
+corpus that end with one: how often its last word, and its pattern (function words,
+numbers, placeholders), ends a sentence, and how often a sentence goes on there.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -179,8 +181,85 @@ def declines(answer: str) -> bool:
     return found
 
 
+def _steps(sentence: str) -> list[tuple[str, str, str]]:
+    """For each token of a sentence before its stop: the pattern up to it, the token with names and numbers masked, the word if in lower case."""
+    tokens = TOKEN.findall(sentence)
+    while tokens and tokens[-1] in ".!?。！？…":
+        tokens.pop()
+    out, path, last = [], "", ""
+    for t in tokens:
+        low = t.lower()
+        p = "#" if t[0].isdigit() else low if low in EVERY or not t[0].isalpha() else "x"
+        if not (p == "x" and last == "x"):
+            path = f"{path} {p}" if path else p
+        last = p
+        word = low if t[0].isalpha() and low == t else ""
+        out.append((path, p if p != "x" else word or "N", word))
+    return out
+
+
+def _key(*parts: str) -> int:
+    return int.from_bytes(_digest("\n".join(parts)), "little", signed=True)
+
+
+def evidence_keys(sentence: str) -> list[int]:
+    """Keys of the last word, of the pattern with the last word, and of the pattern alone."""
+    steps = _steps(sentence)
+    if not steps:
+        return []
+    path, last, word = steps[-1]
+    return [_key("word", word), _key("last", path, last), _key("path", path)]
+
+
+def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, ends, goes_on: how often what a key stands for ends a stopped sentence (is a whole word), and how often it goes on.
+
+    Steps at which no sentence is asked for (after OPEN_END, marks) have no row.
+    """
+    for batch in batches:
+        ends: Counter = Counter()
+        goes: Counter = Counter()
+        words: Counter = Counter()
+        for a in batch.column(0).to_pylist():
+            for s in SENTENCE.split(a or ""):
+                if not s or not TERMINAL.search(s.rstrip()):
+                    continue
+                steps = _steps(s)
+                if not steps:
+                    continue
+                words.update(w for _, _, w in steps if w)
+                path, last, _ = steps[-1]
+                ends["last", path, last] += 1
+                ends["path", path] += 1
+                inner = [(p, x) for p, x, _ in steps[:-1] if x not in OPEN_END and x[0].isalnum() or x == "#"]
+                goes.update({("last", p, x) for p, x in inner})
+                goes.update({("path", p) for p, _ in inner if p != path})
+        for w, n in words.items():
+            ends["word", w] += n
+            for i in range(1, len(w)):
+                goes["word", w[:i]] += n
+        keys = list(ends.keys() | goes.keys())
+        yield pa.RecordBatch.from_arrays([pa.array([_key(*k) for k in keys], pa.int64()), pa.array([ends[k] for k in keys], pa.int64()), pa.array([goes[k] for k in keys], pa.int64())], ["key", "ends", "goes_on"])
+
+
+def whole_ends(labelled: DataFrame, texts: DataFrame) -> DataFrame:
+    """ask, known: the asked ends that are whole by the first evidence there is.
+
+    A last word that is the beginning of other words 50 times as often as a word is
+    cut. Else the pattern with the last word decides, else the pattern alone, by the
+    more frequent of ending and going on: shares, so more data does not shift them.
+    """
+    ask = labelled.where("ask is not null").select("ask").distinct()
+    counts = texts.select("answer").mapInArrow(_evidence, "key bigint, ends bigint, goes_on bigint").groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
+    got = ask.select("ask", F.posexplode("ask").alias("at", "key")).join(counts, "key")
+    n = lambda c, k: F.coalesce(F.max(F.when(F.col("at") == k, F.col(c))), F.lit(0))
+    g = got.groupBy("ask").agg(*[n(c, k).alias(f"{c}{k}") for k in range(3) for c in ("ends", "goes_on")])
+    at = F.when(F.col("ends1") + F.col("goes_on1") > 0, F.col("ends1") > F.col("goes_on1")).otherwise(F.col("ends2") > F.col("goes_on2"))
+    return g.where((F.col("goes_on0") <= 50 * F.col("ends0")) & at).select("ask", F.lit(True).alias("known"))
+
+
 def end_state(answer: str) -> tuple[str, str]:
-    """("whole", ""), ("broken", "") or ("ask", pattern of the last sentence)."""
+    """("whole", ""), ("broken", "") or ("ask", the last sentence)."""
     t = answer.rstrip()
     if t.count("```") % 2:
         return "broken", ""
@@ -199,7 +278,7 @@ def end_state(answer: str) -> tuple[str, str]:
         return "whole", ""
     if FORMULA.search(last):
         return "whole", ""
-    return "ask", pattern(SENTENCE.split(last)[-1])
+    return "ask", SENTENCE.split(last)[-1]
 
 
 def _signature(text: str, coef: np.ndarray) -> np.ndarray:
@@ -216,11 +295,11 @@ def _digest(s: str) -> bytes:
 
 
 def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """label, opening, prompt (pattern of the question), ask (pattern to look up) and seen (patterns of stopped sentences)."""
+    """label, opening, prompt (pattern of the question), ask (keys of an end without a stop)."""
     for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("label", "opening", "prompt", "ask", "seen", "cue")}
+        out: dict[str, list] = {k: [] for k in ("label", "opening", "prompt", "ask", "cue")}
         for q, a in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            label, ask, seen, cue = None, None, [], False
+            label, ask, cue = None, None, False
             if is_empty(a):
                 label = "empty"
             elif is_copy(q, a):
@@ -234,15 +313,13 @@ def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     state, ask = end_state(a)
                     if state == "broken":
                         label = "truncated"
-                    ask = ask if state == "ask" else None
-                parts = [s for s in SENTENCE.split(a) if s]
-                seen = sorted({pattern(s) for s, rest in zip(parts, [*parts[1:], None]) if rest is not None or TERMINAL.search(a.rstrip())})
-            for k, v in (("label", label), ("opening", opening(a) if a and label not in ("empty", "copied_question") else None), ("prompt", prompt(q or "")), ("ask", ask), ("seen", seen), ("cue", cue)):
+                    ask = evidence_keys(ask) or None if state == "ask" else None
+            for k, v in (("label", label), ("opening", opening(a) if a and label not in ("empty", "copied_question") else None), ("prompt", prompt(q or "")), ("ask", ask), ("cue", cue)):
                 out[k].append(v)
-        yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), batch.column(4), *(pa.array(out[k], t) for k, t in (("label", pa.string()), ("opening", pa.string()), ("prompt", pa.string()), ("ask", pa.string()), ("seen", pa.list_(pa.string())), ("cue", pa.bool_())))], ["table_name", "record_key", "field_name", "label", "opening", "prompt", "ask", "seen", "cue"])
+        yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), batch.column(4), *(pa.array(out[k], t) for k, t in (("label", pa.string()), ("opening", pa.string()), ("prompt", pa.string()), ("ask", pa.list_(pa.int64())), ("cue", pa.bool_())))], ["table_name", "record_key", "field_name", "label", "opening", "prompt", "ask", "cue"])
 
 
-_SCHEMA = "table_name string, record_key string, field_name string, label string, opening string, prompt string, ask string, seen array<string>, cue boolean"
+_SCHEMA = "table_name string, record_key string, field_name string, label string, opening string, prompt string, ask array<bigint>, cue boolean"
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,10 +373,11 @@ def defects(dataset: DataFrame, rows: DataFrame) -> DataFrame:
     A pair whose question is unknown can be empty, a refusal or truncated only.
     """
     parts = int(dataset.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # not joined again: the work is in the texts, not in their bytes
-    labelled = written(pairs_of(dataset, rows).repartition(parts).mapInArrow(_labels, _SCHEMA))
-    whole = labelled.select(F.explode("seen").alias("ask")).distinct().withColumn("known", F.lit(True))
+    texts = written(pairs_of(dataset, rows).repartition(parts))
+    labelled = written(texts.mapInArrow(_labels, _SCHEMA))
+    whole = whole_ends(labelled, texts)
     templates = refusal_templates(labelled).select("opening", F.col("refuses"))
-    out = labelled.drop("seen", "prompt").join(whole, "ask", "left").join(templates, "opening", "left")
+    out = labelled.drop("prompt").join(whole, "ask", "left").join(templates, "opening", "left")
     refuses = F.col("cue") | F.coalesce("refuses", F.lit(False))
     defect = (
         F.when(F.col("label").isin("empty", "copied_question"), F.col("label"))

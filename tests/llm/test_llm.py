@@ -350,3 +350,14 @@ def test_defects(spark):
     assert {x.record_key: x.defect for x in got if x.table_name == "rag_round2_rows"} == want
     assert {(x.record_key, x.field_name, x.defect) for x in got if x.table_name == "dataset"} == {("q9", "answer_span", "empty")}
     assert pairs.defects(d.where("false"), r.where("false")).count() == 0
+
+
+def test_a_frequent_pattern_does_not_make_fragments_whole(spark):
+    said = ["The Foo model reaches 5 accuracy on the Bar benchmark.", "The filter of Bar left 7 papers in the collection."]
+    once = "Results\nThe sentence is shown in this answer."
+    full = [(f"q{k}", "Which accuracy does Foo reach on the Bar benchmark?", said[k % 2] if k else once, "Foo is shown in the table.") for k in range(30)]
+    d = spark.createDataFrame(full, "qid string, question string, ideal_answer string, answer_span string")
+    ends = {"The Foo model reaches 8 accuracy on the Bar benchmark": None, "The Foo model reaches 8 accuracy on the Bar": "truncated", "The Foo model reaches 8 accuracy on the Bar bench": "truncated", "The filter of Foo left 9 pap": "truncated", "The filter of Foo left 9 papers in the collection": None}
+    r = spark.createDataFrame([(f"p{k}", "c", f"q{k}", t, None) for k, t in enumerate(ends)], "parser string, chunker string, qid string, answer string, error string")
+    got = {x.record_key.split("|")[0]: x.defect for x in pairs.defects(d, r).collect() if x.table_name == "rag_round2_rows"}
+    assert got == {f"p{k}": v for k, v in enumerate(ends.values()) if v}
