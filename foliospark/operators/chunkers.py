@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import written
 
 
 def fixed_token(docs: DataFrame, key: str = "doc_id", size: int = 256, overlap: int = 32) -> DataFrame:
@@ -126,8 +128,13 @@ def semantic(docs: DataFrame, key: str = "doc_id", cutoff: str = "percentile", m
     return _chunk_rows(docs, key, lambda t: semantic_split(t, cutoff=cutoff, most=most))
 
 
-def grow(blocks: list[tuple[str, int | None, str]], stem: str, target: int = 1500, most: int = 2000, heading: bool = True) -> list[dict]:
-    """Chunks of one paper's blocks (type, page, text), in order.
+def grow(blocks: Iterable[tuple[str, int | None, str]], stem: str, target: int = 1500, most: int = 2000, heading: bool = True) -> list[dict]:
+    """Chunks of one paper's blocks (type, page, text), in order; see ``growing``."""
+    return list(growing(blocks, stem, target, most, heading))
+
+
+def growing(blocks: Iterable[tuple[str, int | None, str]], stem: str, target: int = 1500, most: int = 2000, heading: bool = True, title: str | None = None, section: str | None = None) -> Iterator[dict]:
+    """Chunks of one paper's blocks (type, page, text), in order, as they get full; ``title`` and ``section`` are those before the first block.
 
     Title and section give the heading path and are no chunks. Blocks are packed up
     to ``target`` and never across a section. A block above ``most`` is divided at
@@ -135,17 +142,19 @@ def grow(blocks: list[tuple[str, int | None, str]], stem: str, target: int = 150
     caption beside them. Formulas stay with the text before; formulas without
     letters or under ten characters, authors and footnotes are left out.
     """
-    title, section = None, None
-    chunks: list[dict] = []
+    ready: list[dict] = []
+    made = 0
     held: list[tuple[str, int | None, str]] = []
 
     def emit(parts: list[tuple[str, int | None, str]]) -> None:
+        nonlocal made
         body = "\n".join(t for _, _, t in parts)
         if not body.strip():
             return
         path = " › ".join(x for x in (title or stem, section) if x)
         pages = [p for _, p, _ in parts if p is not None]
-        chunks.append({"text": f"{path}\n\n{body}" if heading else body, "body": body, "title": title or stem, "section": section or "", "page_start": min(pages, default=None), "page_end": max(pages, default=None), "block_types": ",".join(dict.fromkeys(k for k, _, _ in parts)), "chunk_index": len(chunks), "n_chars": len(body)})
+        ready.append({"text": f"{path}\n\n{body}" if heading else body, "body": body, "title": title or stem, "section": section or "", "page_start": min(pages, default=None), "page_end": max(pages, default=None), "block_types": ",".join(dict.fromkeys(k for k, _, _ in parts)), "chunk_index": made, "n_chars": len(body)})
+        made += 1
 
     def flush() -> None:
         nonlocal held
@@ -154,11 +163,12 @@ def grow(blocks: list[tuple[str, int | None, str]], stem: str, target: int = 150
         held = []
 
     size = lambda: sum(len(t) + 1 for _, _, t in held)
-    rows = [(k, p, t.strip()) for k, p, t in blocks if t and t.strip()]
-    i = 0
-    while i < len(rows):
-        kind, page, text = rows[i]
-        i += 1
+    rows = ((k, p, t.strip()) for k, p, t in blocks if t and t.strip())
+    ahead = next(rows, None)
+    while ahead:
+        yield from ready
+        ready.clear()
+        (kind, page, text), ahead = ahead, next(rows, None)
         if kind in ("authors", "footnote"):
             continue
         if kind == "title":
@@ -168,11 +178,11 @@ def grow(blocks: list[tuple[str, int | None, str]], stem: str, target: int = 150
             flush()
             section = text
         elif kind in ("table", "caption"):
-            nxt = rows[i][0] if i < len(rows) else None
+            nxt = ahead[0] if ahead else None
             if kind == "caption" and nxt == "table" or kind == "table" and nxt == "caption":
                 flush()
-                emit([(kind, page, T_fence(text, kind)), (rows[i][0], rows[i][1], T_fence(rows[i][2], rows[i][0]))])
-                i += 1
+                emit([(kind, page, T_fence(text, kind)), (ahead[0], ahead[1], T_fence(ahead[2], ahead[0]))])
+                ahead = next(rows, None)
             elif kind == "table":
                 flush()
                 emit([(kind, page, T_fence(text, kind))])
@@ -208,7 +218,7 @@ def grow(blocks: list[tuple[str, int | None, str]], stem: str, target: int = 150
                 flush()
             held.append((kind, page, text))
     flush()
-    return chunks
+    yield from ready
 
 
 def T_fence(text: str, kind: str) -> str:
@@ -216,39 +226,66 @@ def T_fence(text: str, kind: str) -> str:
 
 
 GROWN = "stem string, part int, chunk_index int, title string, section string, page_start int, page_end int, block_types string, n_chars int, body string, text string"
-#: Blocks of a paper that one packing sees at most; longer papers are packed part by part.
+#: Longer papers are packed in parts that begin at the first break after every so many blocks; the chunks are the same.
 PART = 20_000
 
 
-def grain_growth(blocks: DataFrame, target: int = 1500, most: int = 2000, heading: bool = True) -> DataFrame:
+def _parts(b: DataFrame, most: int, part: int) -> DataFrame:
+    """stem, bucket, start, before, title, section: where a paper's part may begin in each range of ``part`` blocks but the first.
+
+    ``grow`` has nothing in hand before a title, a section or a text above ``most``,
+    so ``start`` is the first of these in the range (null: none); ``before`` is the
+    part that blocks ahead of it belong to; title and section are those in force.
+    """
+    blank = F.regexp_replace("text", r"[\s\p{Z}\x1c-\x1f\x85]", "")
+    kind, said = F.coalesce("type", F.lit("paragraph")), F.length(blank) > 0
+    plain = ~kind.isin("authors", "footnote", "title", "section", "table", "caption", "formula")
+    here = lambda k: F.when((kind == k) & said, F.struct("block_ix", "text"))
+    rest = (kind.isin("title", "section") & said) | (plain & (F.length(blank) > most))
+    g = b.groupBy("stem", F.greatest(F.lit(0), F.floor(F.col("block_ix") / part)).cast("int").alias("bucket")).agg(F.min(F.when(rest, F.col("block_ix"))).alias("start"), F.min(here("title")).alias("title"), F.max(here("section")).alias("section"))
+    w = Window.partitionBy("stem").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.last(F.when(F.col("start").isNotNull() & (F.col("bucket") > 0), F.col("bucket")), ignorenulls=True).over(w), F.lit(0))
+    g = g.select("stem", "bucket", "start", before.alias("before"), F.first("title", ignorenulls=True).over(w)["text"].alias("title"), F.last("section", ignorenulls=True).over(w)["text"].alias("section"))
+    return g.where("bucket > 0")
+
+
+def grain_growth(blocks: DataFrame, target: int = 1500, most: int = 2000, heading: bool = True, part: int = PART) -> DataFrame:
     """Chunks of every paper. Blocks: stem, block_ix, type, page, text, one row per key.
 
-    A paper of more than ``PART`` blocks is packed in parts by block number, so no
-    task holds an unbounded paper; chunk_index then counts within the part.
+    A paper of more than ``part`` blocks is packed in parts that begin where nothing
+    is in hand, with the title and section in force there; chunk_index counts over
+    the paper. Chunks come out as they get full, so a paper without such a place is
+    one part, but never in memory as a whole.
     """
-    src = blocks.select("stem", F.floor(F.col("block_ix") / PART).cast("int").alias("part"), "block_ix", "type", "page", "text").repartition("stem", "part").sortWithinPartitions("stem", "part", "block_ix")
+    b = written(blocks.select("stem", "block_ix", "type", "page", "text"))
+    parts = written(_parts(b, most, part))
+    src = b.withColumn("bucket", F.greatest(F.lit(0), F.floor(F.col("block_ix") / part)).cast("int")).join(parts, ["stem", "bucket"], "left")
+    of = F.when(F.col("block_ix") >= F.col("start"), F.col("bucket")).otherwise(F.coalesce("before", F.lit(0)))
+    src = src.select("stem", of.alias("part"), "block_ix", "type", "page", "text", *[F.when(F.col("block_ix") == F.col("start"), F.trim(c)).alias(c) for c in ("title", "section")])
+    src = src.repartition("stem", "part").sortWithinPartitions("stem", "part", "block_ix")
+    kinds = {"string": pa.string(), "int": pa.int32()}
     names = [x.split()[0] for x in GROWN.split(", ")]
+    fields = [x.split() for x in GROWN.split(", ")[:-1]]  # text repeats body: made of it at the end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-
-        def out() -> pa.RecordBatch:
-            rows = [{"stem": key[0], "part": key[1], **c} for c in grow(held, key[0], target, most, heading)]
-            kinds = {"string": pa.string(), "int": pa.int32()}
-            return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds[x.split()[1]]) for n, x in zip(names, GROWN.split(", "))], names)
-
-        for b in batches:
-            d = b.to_pydict()
-            for stem, part, kind, page, text in zip(d["stem"], d["part"], d["type"], d["page"], d["text"]):
-                if (stem, part) != key:
-                    if held:
-                        yield out()
-                    key, held = (stem, part), []
-                held.append((kind or "paragraph", page, text))
-        if held:
-            yield out()
-
-    return src.mapInArrow(run, GROWN)
+        def chunks() -> Iterator[dict]:
+            rows = (r for b in batches for r in zip(*(b.column(n).to_pylist() for n in ("stem", "part", "title", "section", "type", "page", "text"))))
+            for (stem, part), group in groupby(rows, lambda r: r[:2]):
+                head = next(group)
+                state = [x.strip() if x else None for x in head[2:4]]
+                for c in growing(((k or "paragraph", p, t) for *_, k, p, t in chain([head], group)), stem, target, most, heading, *state):
+                    yield {"stem": stem, "part": part, **c}
+
+        out = chunks()
+        while some := list(islice(out, 1000)):
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in some], kinds[t]) for n, t in fields], [n for n, _ in fields])
+
+    got = written(src.mapInArrow(run, GROWN.rsplit(", ", 1)[0]))
+    w = Window.partitionBy("stem").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = got.groupBy("stem", "part").count().select("stem", "part", F.sum("count").over(w).alias("first")).where("part > 0 and first > 0")
+    got = got.join(written(first), ["stem", "part"], "left").withColumn("chunk_index", (F.col("chunk_index") + F.coalesce("first", F.lit(0))).cast("int"))
+    path = F.concat_ws(" › ", *[F.when(F.col(c) != "", F.col(c)) for c in ("title", "section")])
+    return got.withColumn("text", F.concat(path, F.lit("\n\n"), "body") if heading else F.col("body")).select(*names)
 
 
 CHUNKERS: dict[str, Callable[..., DataFrame]] = {"fixed_token": fixed_token, "recursive_char": recursive_char, "semantic": semantic, "grain_growth": grain_growth}

@@ -108,6 +108,23 @@ def test_chunkers(spark):
     assert C.grow([], "s") == [] and C.semantic_split("One. Two.") == ["One. Two."]
 
 
+@pytest.mark.parametrize("kinds", [("paragraph", "section", "caption", "table", "list", "formula", "footnote", "paragraph", "title", None), ("paragraph", "caption", "table")])
+def test_parts_of_a_long_paper_change_nothing(spark, kinds):
+    r = random.Random(4)
+    rows = []
+    for k in range(900):
+        text = r.choice(["", "\u00a0", "x = y + z + 1", f"Sentence {k} is here. " * r.choice([1, 9, 30, 200])])
+        rows.append(("s", k, r.choice(kinds), k // 9, text if k else f"Block {k}."))
+    rows[3] = ("s", 3, "title", 0, " The title ")
+    want = C.grow([(t or "paragraph", p, x) for _, _, t, p, x in rows], "s")
+    d = spark.createDataFrame(rows, "stem string, block_ix int, type string, page int, text string")
+    got = C.grain_growth(d, part=40)
+    assert got.select("part").distinct().count() > 3
+    fields = ["chunk_index", "title", "section", "page_start", "page_end", "block_types", "n_chars", "body", "text"]
+    assert [tuple(x) for x in got.orderBy("chunk_index").select(fields).collect()] == [tuple(c[f] for f in fields) for c in want]
+    assert C.grain_growth(d.where("false")).count() == 0
+
+
 def test_knn_blocks_against_brute_force(spark):
     import numpy as np
 
