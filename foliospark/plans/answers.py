@@ -127,7 +127,7 @@ def wilcoxon_tests(spark, d):
 
 
 def bootstrap_intervals(spark, d):
-    return S.cluster_bootstrap(S.paired(long_metrics(spark, d), BASELINE), ["metric", "parser", "chunker"], "paper", draws=2000)
+    return S.cluster_bootstrap(S.paired(long_metrics(spark, d), BASELINE), ["metric", "parser", "chunker"], "paper")
 
 
 def metric_correlation(spark, d):

@@ -73,6 +73,14 @@ def test_statistics(spark):
     assert sorted((r.v, r.r) for r in ranks.collect()) == [(1.0, 1.0), (2.0, 2.0), (3.0, 3.5), (3.0, 3.5)]
 
 
+def test_bootstrap_query_takes_all_draws(spark):
+    from foliospark.plans import answers as A
+
+    d, key = "/root/testdata/sf0.001", ["metric", "parser", "chunker"]
+    want = S.cluster_bootstrap(S.paired(A.long_metrics(spark, d), A.BASELINE), key, "paper", draws=10_000)
+    assert sorted(A.bootstrap_intervals(spark, d).collect()) == sorted(want.collect())
+
+
 def test_status_machine(spark):
     from foliospark.streaming.jobs import step
 
