@@ -29,7 +29,7 @@ PATH = re.compile(r"\b[A-Za-z]:\\[^\s]*")
 FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})[^\n`]*\n(.*?)(?:^ {0,3}\1[`~]*[ \t]*$|\Z)", re.M | re.S)
 PRE = re.compile(r"<(pre|code|script|style|nowiki|syntaxhighlight|source)\b[^>]*>(.*?)(</\1\s*>|\Z)", re.I | re.S)
 VERBATIM = re.compile(r"\\begin\{(verbatim\*?|lstlisting|minted|alltt|code)\}(.*?)(\\end\{\1\}|\Z)", re.S)
-INDENTED = re.compile(r"^(?: {2,}|\t)\S[^\n]*$", re.M)
+INDENTED = re.compile(r"(?:\A|^[^\S\n]*\n)(?:(?: {4}|\t)[^\S\n]*\S[^\n]*(?:\n|\Z))+", re.M)
 INLINE = re.compile(r"(?<!`)`([^`\n]+)`(?!`)")
 MATH = re.compile(r"\$\$.+?\$\$|(?<![\\\w$])\$(?=[^$\n]*[\\^_={}])(?!\d+(?:[.,]\d+)? )[^$\n]{1,400}\$(?!\w)|\\\[.+?\\\]|\\\(.+?\\\)", re.S)
 LATEX = re.compile(rf"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])*\{{|\\(?:{BARE_COMMANDS})(?![A-Za-z])|(?<=[\w)])\\[%&_#$](?!\w*\\)")
@@ -53,7 +53,7 @@ MARKDOWN = (
 HASH_LINE, STAR_LINE, DASH_LINE = re.compile(r"^# \S", re.M), re.compile(r"^\*{1,4} ?[^\s*]", re.M), re.compile(r"^[-+] \S", re.M)
 QUICK = re.compile(r"[<&\\`*_~#\[{|$']|^[=>+-]", re.M)
 
-#: Weights of words and tags for the content region, as ``fit_weights`` gives them.
+#: Weights of words and tags for the content region, set by hand, as there is no labelled page; ``fit_weights`` gives others.
 WORD, LINK_WORD, TAG_COST = 1.0, -0.5, -3.25
 
 
@@ -83,7 +83,7 @@ def kinds(text: str | None) -> list[str]:
     if TAG.search(text) or CHARREF.search(text):
         found.add("html")
         text = TAG.sub(" ", text)
-    text = INDENTED.sub("", text)
+    text = INDENTED.sub("\n", text)
     if "$" in text or "\\" in text:
         text, n = MATH.subn(" ", text)
         if n or LATEX.search(text):

@@ -246,6 +246,11 @@ def test_kinds(text, kinds):
     assert markup.kinds(text) == kinds
 
 
+def test_indented_lines_are_code_after_a_blank_line_only():
+    assert markup.kinds("text\n  see **this** one") == ["markdown"] and markup.kinds("text\n    x\\cite{a2} and \\emph{b}") == ["latex"]
+    assert markup.kinds("text\n\n    see **this** one\n    and [a](http://b)\n\n\tan **x** y\nend") == []
+
+
 def test_clean():
     assert markup.clean("<h2>A</h2><p>b &amp; <b>c</b></p><ul><li>x<li>y</ul><pre><code>if a &lt; b:\n  c</code></pre>") == "## A\n\nb & c\n\n- x\n- y\n\n```\nif a < b:\n  c\n```"
     assert markup.clean("\\section{A}\n\nx\\cite{q} \\emph{y} and $a^2$.\n\\begin{itemize}\n\\item one\n\\end{itemize}") == "# A\n\nx y and $a^2$.\n\n- one"
