@@ -350,6 +350,13 @@ def test_defects(spark):
                 want[f"p{n}|c|q{n % 4}"] = kind
     rows += [rows[0], ("px", "c", "q0", None, "query timed out"), ("py", None, "nope", "I don't know.", None)]
     want["py||nope"] = "refusal"
+    # the refusals recur under prompts of other patterns
+    for k, question in enumerate(["How was Foo trained in the study?", "Why does the filter of Foo fail on long texts?", "In which setting is Foo slower than Bar?"]):
+        q.append((f"u{k}", question, f"It was shown on {k + 7} pages.", f"Table {k} shows it."))
+        for m, t in enumerate(answers["refusal"]):
+            rows.append((f"u{m}", "c", f"u{k}", t, None))
+            want[f"u{m}|c|u{k}"] = "refusal"
+    d = spark.createDataFrame([*q, q[0]], "qid string, question string, ideal_answer string, answer_span string").withColumn("answer", F.lit("clash"))
     r = spark.createDataFrame(rows, "parser string, chunker string, qid string, answer string, error string").withColumn("question", F.lit(1))
     got = pairs.defects(d, r).collect()
     assert {x.record_key: x.defect for x in got if x.table_name == "rag_round2_rows"} == want
@@ -366,3 +373,49 @@ def test_a_frequent_pattern_does_not_make_fragments_whole(spark):
     r = spark.createDataFrame([(f"p{k}", "c", f"q{k}", t, None) for k, t in enumerate(ends)], "parser string, chunker string, qid string, answer string, error string")
     got = {x.record_key.split("|")[0]: x.defect for x in pairs.defects(d, r).collect() if x.table_name == "rag_round2_rows"}
     assert got == {f"p{k}": v for k, v in enumerate(ends.values()) if v}
+
+
+PROMPTS = ["How was {} trained?", "Why does {} fail on long texts?", "In which setting is {} slower?", "Which score does {} reach on the set?"]
+
+
+def _answers(spark, made):
+    """Defects of answers made(k, name) under four unrelated prompts each, by answer number."""
+    names = [f"Gra{c}velt" for c in "bcdfghkl"]
+    q = [(f"q{k}", PROMPTS[k % 4].format(n), f"It took {k} steps on Zorvlimp{k}.", f"{n} is shown in {k} tables.") for k, n in enumerate(names)]
+    rows = [(f"p{j}", "c", f"q{k}", t, None) for k, n in enumerate(names) for j, t in enumerate(made(k, n))]
+    d = spark.createDataFrame(q, "qid string, question string, ideal_answer string, answer_span string")
+    r = spark.createDataFrame(rows, "parser string, chunker string, qid string, answer string, error string")
+    return {(x.record_key.split("|")[0], x.record_key.split("|")[2]): x.defect for x in pairs.defects(d, r).collect() if x.table_name == "rag_round2_rows"}
+
+
+def test_refusals_of_any_wording_are_found_by_recurrence(spark):
+    """No list holds these words; what answers the prompt, even in one wording, is none."""
+    made = lambda k, n: [f"Beyond my ken lies {n}, alas.", "Mum is the word here. Beyond my ken lies the rest, alas.", f"Mum is the word here. It took {k} steps.", "Yes.", f"The cause is Zorvlimp{k}, as they write.", f"{n} is fine in its green way {'abcdefgh'[k] * 3}."]
+    got = _answers(spark, made)
+    assert got == {(p, f"q{k}"): "refusal" for k in range(8) for p in ("p0", "p1")}
+
+
+def test_a_wording_under_one_pattern_of_prompts_is_an_answer(spark):
+    got = _answers(spark, lambda k, n: ["The green filter was left out there." if k % 4 == 2 else f"It is {k}."])
+    assert got == {}
+
+
+def test_long_openings_that_differ_by_a_word_are_one_cluster(spark):
+    words = ["word" + "abcdefghij"[k // 10] + "abcdefghij"[k % 10] for k in range(60)]
+    other = " ".join(words[:-1] + ["changed"])
+    one = spark.createDataFrame([(" ".join(words),), (other,), ("z " + other,), ("quite another thing",)], "template string")
+    got = {r.template: r.cluster for r in pairs.clusters(one).collect()}
+    assert len(set(got.values())) == 2 and got["quite another thing"] == "quite another thing"
+    assert pairs.clusters(one.where("false")).count() == 0
+
+
+def test_links_that_miss_the_least_of_their_bucket_count(spark):
+    """A chain: each member resembles the next, the ends do not resemble each other."""
+    words = ["w" + "abcdefghij"[k // 10] + "abcdefghij"[k % 10] for k in range(100)]
+    chain = [" ".join(words[k : k + 50]) for k in range(0, 50, 4)]
+    got = {r.cluster for r in pairs.clusters(spark.createDataFrame([(c,) for c in chain], "template string")).collect()}
+    assert got == {min(chain)}
+
+
+def test_quotations_of_any_length_have_no_language():
+    assert pairs.language("This is the title of the paper: „" + "der die das und nicht ist " * 400 + "“") == "en"
