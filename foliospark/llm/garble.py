@@ -401,7 +401,7 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for sub in subs:
                     bits &= _byte_of().get(sub, 0)
                 told = sorted(f"{ch}{byte:02x}" for ch, byte in subs)
-                rows += [(form, UTF8, True, k, told) for k in _bits(bits)] or [(form, BARE, True, -1, told)]
+                rows += [(form, UTF8, True, k, told, sound) for k in _bits(bits)] or [(form, BARE, True, -1, told, sound)]
                 continue
             if len(form) != len(sound) or m < n:
                 continue
@@ -415,20 +415,20 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             told = sorted({a + b for a, b in zip(form, sound) if a != b})
             if bits <= 0 or (unit == 0 and (mend(form, one_byte(), ())[1] or mend(sound, one_byte(), ())[1])):  # a sequence of UTF-8
                 continue
-            rows += [(form, "other" if unit else "latin", mixed, k, told) for k in _bits(bits)]
-        cols = list(zip(*rows)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.list_(pa.string())))], ["form", "kind", "mixed", "pair", "subs"])
+            rows += [(form, "other" if unit else "latin", mixed, k, told, sound) for k in _bits(bits)]
+        cols = list(zip(*rows)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.list_(pa.string()), pa.string()))], ["form", "kind", "mixed", "pair", "subs", "sound"])
 
 
 def aligned(words: DataFrame) -> DataFrame:
-    """form, kind, mixed, pair, subs: forms with a twin that has other characters beyond ASCII in the same places, and what explains them."""
+    """form, kind, mixed, pair, subs, sound: forms with a twin that has other characters beyond ASCII in the same places, and what explains them."""
     w = words.where(~F.contains("form", F.lit(LOST)) & ((F.col("unit") > 0) | F.col("bare").rlike("[A-Za-z].*[A-Za-z]")))
     # pairs of characters stand against characters
     mask = F.when(F.col("unit") == 0, F.regexp_replace("form", r"[^\x00-\x7f]+", "\u0001")).otherwise(F.col("bare"))
     w = w.select("unit", "form", "n", mask.alias("mask"))
     sound = w.where("unit < 2").select((F.col("unit") > 0).alias("pattern"), "mask", F.col("form").alias("sound"), F.col("n").alias("m"))
     two = w.withColumn("pattern", F.col("unit") > 0).join(sound, ["pattern", "mask"]).where("form <> sound and (m >= n or length(form) > length(sound))")
-    return two.select("unit", "form", "sound", "n", "m").mapInArrow(_align, "form string, kind string, mixed boolean, pair int, subs array<string>").distinct()
+    return two.select("unit", "form", "sound", "n", "m").mapInArrow(_align, "form string, kind string, mixed boolean, pair int, subs array<string>, sound string").distinct()
 
 
 def _greedy(signatures: list[tuple[tuple[int, ...], int]], least: int) -> list[int]:
@@ -456,7 +456,14 @@ def learned(twins: DataFrame, least: int = 2) -> tuple[tuple[Reading, ...], tupl
     sets = twins.where("kind in ('utf-8', 'other')").groupBy("kind", "form").agg(F.sort_array(F.collect_set("pair")).alias("s")).groupBy("kind", "s").agg(F.count("*").alias("n")).collect()
     pick = lambda kind: _greedy([(tuple(r["s"]), r["n"]) for r in sets if r["kind"] == kind], least)
     codecs: list[Reading] = [one_byte()[k] for k in pick(UTF8)]
-    odd = twins.where(F.col("kind") == BARE).join(twins.where(F.col("kind") == UTF8).select("form").distinct(), "form", "left_anti")
+    known = tuple(codecs)
+
+    def unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Without twins of which either is garbled in a way that is known."""
+        for batch in batches:
+            yield batch.filter(pa.array([not any(mend(x, known, ())[1] for x in two) for two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], pa.bool_()))
+
+    odd = twins.where(F.col("kind") == BARE).select("form", "sound", "subs").mapInArrow(unknown, "form string, sound string, subs array<string>")
     odd = odd.select("form", F.explode("subs").alias("sub")).groupBy("sub").agg(F.count_distinct("form").alias("n")).collect()
     seen: dict[str, Counter] = {}
     for r in odd:
@@ -466,7 +473,7 @@ def learned(twins: DataFrame, least: int = 2) -> tuple[tuple[Reading, ...], tupl
     for ch, (byte, n) in bare.items():
         by_byte[byte] = max(by_byte.get(byte, (0, "")), (n, ch))
     sure = [b for b, (n, _) in by_byte.items() if n >= least]  # the rest stands beside them in the same forms
-    if len(sure) >= 3 and any(b >= 0xC2 for b in sure) and any(b < 0xC0 for b in sure):
+    if len(sure) >= 3 and any(b >= 0xC2 and by_byte[b][0] > least for b in sure) and any(b < 0xC0 for b in sure):
         codecs.append(tuple(sorted((ch, b) for b, (_, ch) in by_byte.items())))
     return tuple(codecs), tuple(grid()[k] for k in pick("other") if grid()[k] in cyrillic_pairs())
 
