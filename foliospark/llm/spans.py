@@ -2,18 +2,25 @@
 
 A run of at least ``span`` characters that two records share holds, in both, the
 same phrase of half that length: the one of least hash (winnowing). A text has one
-such phrase for about every 31 characters, and no shared run escapes. Phrases that
-occur in more than one record are confirmed by grouping their hashes, which combine
-before the shuffle (least and greatest record), so that a phrase of a third of all
-records is no hot group. Texts that hold confirmed phrases are streamed through
-Aho-Corasick automata, each compiled for a shard of texts from the phrases routed to
-it, which locate every occurrence, character for character. Only windows around
-occurrences can be shared; a second, independent 64-bit hash of the whole window
-tells which are.
+such phrase for about every 31 characters, and no shared run escapes. Hashes of
+phrases that occur in more than one record are found by grouping, which combines
+before the shuffle, so that a phrase of a third of all records is no hot group. What a
+hash proposes is then confirmed by the text: the phrases themselves are taken from the
+texts and kept if they recur, letter for letter.
+
+The confirmed phrases are divided into shards by the least record that holds them, so
+that the phrases of one passage lie together and a text has to meet few shards. Each
+shard is compiled into an Aho-Corasick automaton, and the texts that may hold its
+phrases stream through it; a shard met by much text is compiled in several tasks, each
+with its part of the texts. Only windows around the occurrences located can be shared;
+a 128-bit digest of the whole window (BLAKE2) tells which are. The polynomial hashes
+only propose, so a collision of theirs costs time and changes nothing. A record is known
+by two independent hashes of its key, 128 bits together.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -30,8 +37,10 @@ _powers: dict[tuple[int, int], np.ndarray] = {}
 _ONES = np.uint64(2**64 - 1)
 #: Characters hashed at once.
 CHUNK = 1_000_000
-#: Characters of the texts that one automaton is compiled for: at most about a 31st as many phrases.
-SHARD = 250_000
+#: Phrases in a shard, about.
+SHARD = 20_000
+#: Characters of the texts that one automaton is compiled for, about.
+STREAM = 8_000_000
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -88,26 +97,6 @@ class Joined:
         self.of = of[inside]
         self.span = span
 
-    def near(self, texts: list[str], wanted: np.ndarray) -> np.ndarray:
-        """Which windows hold an occurrence of a phrase whose hash is wanted."""
-        joined = "".join(texts)
-        phrases = {joined[p : p + self.k] for p in np.flatnonzero(np.isin(self.grams, wanted)).tolist()}
-        cover = np.zeros(len(self.codes) + 1, np.int32)
-        if phrases:
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-            for phrase in phrases:
-                automaton.add_word(phrase)
-            automaton.make_automaton()
-            for start, text in zip(self.starts.tolist(), texts):
-                ends = np.fromiter((end for end, _ in automaton.iter(text)), np.int64)
-                at = start + ends - (self.k - 1)
-                np.add.at(cover, np.maximum(at - (self.span - self.k), start), 1)
-                np.add.at(cover, at + 1, -1)
-        return np.cumsum(cover)[self.at] > 0
-
-    def windows(self) -> np.ndarray:
-        return _grams(self.codes, self.span, _BASES[1])[self.at]
-
 
 def _packed(lens: list[int], most: int = CHUNK) -> Iterator[tuple[int, int]]:
     start = held = 0
@@ -128,50 +117,111 @@ def _signed(x: np.ndarray) -> pa.Array:
 def _marks(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rec = batch.column(0).to_numpy()
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for a, b in _packed([len(t) for t in texts]):
                 j = Joined(texts[a:b], span)
                 mark = j.mark[j.at]
                 first = np.ones(len(mark), bool)
                 first[1:] = (mark[1:] != mark[:-1]) | (j.of[1:] != j.of[:-1])
-                pairs = np.unique(np.stack([mark[first], rec[a:b][j.of[first]].view(np.uint64)]), axis=1) if first.any() else np.zeros((2, 0), np.uint64)
-                yield pa.RecordBatch.from_arrays([_signed(np.ascontiguousarray(pairs[0])), _signed(np.ascontiguousarray(pairs[1]))], ["mark", "rec"])
+                pairs = np.unique(np.stack([j.of[first].astype(np.uint64), mark[first]]), axis=1) if first.any() else np.zeros((2, 0), np.uint64)
+                of = pa.array(pairs[0].astype(np.int64) + a)
+                yield pa.RecordBatch.from_arrays([_signed(np.ascontiguousarray(pairs[1])), batch.column(0).take(of), batch.column(1).take(of)], ["mark", "rec", "sign"])
+
+    return run
+
+
+def _phrases(span: int):
+    """shard, phrase, rec, sign: the phrases of a text at places with a recurring hash, once each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = span // 2
+        for batch in batches:
+            row, shard, phrase = [], [], []
+            for i, (text, marks) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3))):
+                wanted = marks.values.field("mark").to_numpy().view(np.uint64)
+                homes = marks.values.field("shard").to_numpy()
+                order = np.argsort(wanted)
+                grams = Joined([text], span).grams
+                at = np.flatnonzero(np.isin(grams, wanted))
+                found = {(text[p : p + k], h) for p, h in zip(at.tolist(), homes[order][np.searchsorted(wanted[order], grams[at])].tolist())}
+                row += [i] * len(found)
+                phrase += [p for p, _ in found]
+                shard += [h for _, h in found]
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array([p.encode("utf-16-le", "surrogatepass") for p in phrase], pa.binary()), batch.column(0).take(at), batch.column(1).take(at)], ["shard", "phrase", "rec", "sign"])
 
     return run
 
 
 def _windows(span: int):
+    """w, v (digest), rec, sign, tid, pos of the windows around located phrases. Of each shard the phrases come before the texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = span // 2
+        home, automaton, ready = None, None, False
         for batch in batches:
-            rec, tid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            texts, lists = batch.column(2).to_pylist(), batch.column(3)
-            for a, b in _packed([len(t) for t in texts], SHARD):
-                j = Joined(texts[a:b], span)
-                wanted = np.unique(lists[a:b].flatten().to_numpy().view(np.uint64))
-                keep = j.near(texts[a:b], wanted)
-                of = j.of[keep]
-                pos = (j.at[keep] - j.starts[of]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([_signed(j.windows()[keep]), pa.array(rec[a:b][of]), pa.array(tid[a:b][of]), pa.array(pos)], ["w", "rec", "tid", "pos"])
+            row, pos, digests = [], [np.zeros(0, np.int32)], []
+            for i, (shard, salt, phrase, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)))):
+                if (shard, salt) != home:
+                    home, automaton, ready = (shard, salt), ahocorasick.Automaton(ahocorasick.STORE_LENGTH), False
+                if phrase is not None:
+                    automaton.add_word(phrase.decode("utf-16-le", "surrogatepass"))
+                    continue
+                if not len(automaton):
+                    continue
+                if not ready:
+                    automaton.make_automaton()
+                    ready = True
+                at = np.fromiter((end for end, _ in automaton.iter(text)), np.int64) - (k - 1)
+                cover = np.zeros(len(text) + 1, np.int32)
+                np.add.at(cover, np.maximum(at - (span - k), 0), 1)
+                np.add.at(cover, at + 1, -1)
+                near = np.flatnonzero(np.cumsum(cover)[: len(text) - span + 1] > 0)
+                codes = memoryview(text.encode("utf-32-le", "surrogatepass"))
+                row += [i] * len(near)
+                pos.append(near.astype(np.int32))
+                digests += [hashlib.blake2b(codes[4 * p : 4 * (p + span)], digest_size=16).digest() for p in near.tolist()]
+            w = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(w[:, 0])), pa.array(np.ascontiguousarray(w[:, 1])), *(batch.column(c).take(at) for c in (4, 5, 6)), pa.array(np.concatenate(pos))], ["w", "v", "rec", "sign", "tid", "pos"])
 
     return run
 
 
 def _prepared(records: DataFrame, span: int) -> DataFrame:
     r = records.select("table_name", "record_key", "text").where((F.length("text") >= span) & F.col("record_key").isNotNull())
-    return r.withColumn("rec", F.xxhash64("table_name", "record_key")).withColumn("tid", F.xxhash64("text"))
+    return r.withColumn("rec", F.xxhash64("table_name", "record_key")).withColumn("sign", F.xxhash64(F.lit(span), "record_key", "table_name")).withColumn("tid", F.xxhash64("text"))
+
+
+#: More than one record: of all that are told apart by two hashes at least one differs.
+SEVERAL = "lo <> hi or lo_sign <> hi_sign"
+
+
+def _ends() -> list:
+    return [F.min("rec").alias("lo"), F.max("rec").alias("hi"), F.min("sign").alias("lo_sign"), F.max("sign").alias("hi_sign")]
 
 
-def shared_windows(records: DataFrame, span: int = SPAN) -> tuple[DataFrame, DataFrame]:
-    """(windows, carriers): the confirmed windows (rec, tid, pos), and the rows with text that can hold any (rec, tid, text, marks)."""
+def shared_windows(records: DataFrame, span: int = SPAN) -> DataFrame:
+    """rec, sign, tid, pos of the windows of ``span`` characters that stand in another record too; one may come more than once."""
     r = _prepared(records, span)
-    marks = written(r.select("rec", "text").mapInArrow(_marks(span), "mark bigint, rec bigint"))
-    several = marks.groupBy("mark").agg(F.min("rec").alias("lo"), F.max("rec").alias("hi")).where("lo <> hi").select("mark")
-    per = written(marks.join(several, "mark", "left_semi").groupBy("rec").agg(F.collect_set("mark").alias("marks")))
-    carriers = r.join(per, "rec").select("rec", "tid", "text", "marks", "table_name", "record_key")
-    w = written(carriers.select("rec", "tid", "text", "marks").mapInArrow(_windows(span), "w bigint, rec bigint, tid bigint, pos int"))
-    common = w.groupBy("w").agg(F.min("rec").alias("lo"), F.max("rec").alias("hi")).where("lo <> hi").select("w")
-    return w.join(common, "w", "left_semi").select("rec", "tid", "pos"), carriers
+    marks = written(r.select("rec", "sign", "text").mapInArrow(_marks(span), "mark bigint, rec bigint, sign bigint"))
+    several = written(marks.groupBy("mark").agg(*_ends()).where(SEVERAL).select("mark", F.xxhash64("lo", "lo_sign").alias("home")))
+    shards = max(1, -(-several.count() // SHARD))
+    near = several.select("mark", F.pmod("home", F.lit(shards)).cast("int").alias("shard"))
+    per = written(marks.join(near, "mark").groupBy("rec", "sign").agg(F.collect_set(F.struct("mark", "shard")).alias("marks")))
+    carriers = written(r.join(per, ["rec", "sign"]).select("rec", "sign", "text", "marks", "tid"))
+    phrases = carriers.select("rec", "sign", "text", "marks").mapInArrow(_phrases(span), "shard int, phrase binary, rec bigint, sign bigint")
+    phrases = phrases.groupBy("shard", "phrase").agg(*_ends()).where(SEVERAL).select("shard", "phrase")
+    sent = carriers.select("rec", "sign", "tid", "text", F.explode(F.array_distinct("marks.shard")).alias("shard"))
+    # one row per shard
+    salts = written(sent.groupBy("shard").agg(F.ceil(F.sum(F.length("text")) / STREAM).cast("int").alias("salts")))
+    none = lambda *names: [F.lit(None).cast(t).alias(c) for c, t in names]
+    known = phrases.join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "phrase", *none(("text", "string"), ("rec", "bigint"), ("sign", "bigint"), ("tid", "bigint")))
+    sent = sent.join(salts, "shard").select("shard", F.pmod(F.hash("rec", "tid"), F.col("salts")).alias("salt"), *none(("phrase", "binary")), "text", "rec", "sign", "tid")
+    stream = known.unionByName(sent).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("phrase").isNull())
+    w = written(stream.mapInArrow(_windows(span), "w bigint, v bigint, rec bigint, sign bigint, tid bigint, pos int"))
+    common = w.groupBy("w", "v").agg(*_ends()).where(SEVERAL).select("w", "v")
+    return w.join(common, ["w", "v"], "left_semi").select("rec", "sign", "tid", "pos")
 
 
 def shared(records: DataFrame, span: int = SPAN) -> DataFrame:
@@ -183,12 +233,12 @@ def shared(records: DataFrame, span: int = SPAN) -> DataFrame:
     of different texts under one key that with most shared characters is reported.
     Null and shorter texts share nothing. Records without a key are left out.
     """
-    found, _ = shared_windows(records, span)
-    before = F.lag("pos").over(Window.partitionBy("rec", "tid").orderBy("pos"))
-    gained = found.select("rec", "tid", F.least(F.lit(span), F.coalesce(F.col("pos") - before, F.lit(span))).alias("gain"))
-    covered = gained.groupBy("rec", "tid").agg(F.sum("gain").alias("shared_chars"))
-    keys = _prepared(records, span).select("rec", "tid", "table_name", "record_key", F.length("text").alias("n_chars"))
-    out = keys.join(covered, ["rec", "tid"])
+    who = ["rec", "sign", "tid"]
+    before = F.lag("pos").over(Window.partitionBy(*who).orderBy("pos"))
+    gained = shared_windows(records, span).select(*who, F.least(F.lit(span), F.coalesce(F.col("pos") - before, F.lit(span))).alias("gain"))
+    covered = gained.groupBy(*who).agg(F.sum("gain").alias("shared_chars"))
+    keys = _prepared(records, span).select(*who, "table_name", "record_key", F.length("text").alias("n_chars"))
+    out = keys.join(covered, who)
     best = F.max(F.struct("shared_chars", F.col("n_chars")))
     out = out.groupBy("table_name", "record_key").agg(best.alias("b"))
     return out.select("table_name", "record_key", "b.n_chars", "b.shared_chars", F.round(F.col("b.shared_chars") / F.col("b.n_chars"), 6).alias("share"))

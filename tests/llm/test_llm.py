@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -475,3 +476,52 @@ def test_words_of_any_length_are_learned_from(spark):
     long = "duraçãonãoúltima" * 10
     d = docs(spark, [_bad(long, "cp437", "utf-8") + " x", _bad("é" + long, "cp437", "utf-8") + " x", long + " y", "é" + long])
     assert {r.doc_id for r in garble.garbled(d).collect()} == {0, 1}
+
+
+# ---- 3, again
+
+
+def _shared_rows(seed):
+    rnd = random.Random(seed)
+    word = lambda n: "".join(rnd.choice("abcd é你") for _ in range(n))
+    common = [word(260) for _ in range(6)]
+    rows = []
+    for i in range(60):
+        c = rnd.choice(common)
+        a = rnd.randint(0, 60)
+        rows.append((str(i), word(rnd.randint(0, 200)) + (c[a : a + rnd.randint(60, 200)] if i % 3 else "") + word(rnd.randint(0, 100))))
+    return rows
+
+
+def test_hashes_that_collide_change_nothing(spark, monkeypatch):
+    """All phrases of a text get one of three hashes: every one is proposed, the text decides."""
+    weak = spans._grams
+
+    def few(codes, k, base):
+        return weak(codes, k, base) % np.uint64(3)
+
+    rows = _shared_rows(5)
+    df = spark.createDataFrame([("t", k, t) for k, t in rows], "table_name string, record_key string, text string")
+    run, phrases = spans._marks(120), spans._phrases(120)
+
+    def patched(f):
+        def go(batches):
+            spans._grams = few
+            try:
+                yield from f(batches)
+            finally:
+                spans._grams = weak
+
+        return go
+
+    monkeypatch.setattr(spans, "_marks", lambda span: patched(run))
+    monkeypatch.setattr(spans, "_phrases", lambda span: patched(phrases))
+    assert {r.record_key: r.shared_chars for r in spans.shared(df).collect()} == brute_shared(rows, 120)
+
+
+def test_many_shards_and_parts_of_a_shard(spark, monkeypatch):
+    rows = _shared_rows(6)
+    df = spark.createDataFrame([("t", k, t) for k, t in rows], "table_name string, record_key string, text string")
+    monkeypatch.setattr(spans, "SHARD", 3)
+    monkeypatch.setattr(spans, "STREAM", 900)
+    assert {r.record_key: r.shared_chars for r in spans.shared(df).collect()} == brute_shared(rows, 120)
