@@ -13,9 +13,11 @@ that the phrases of one passage lie together and a text has to meet few shards.
 shard is compiled into an Aho-Corasick automaton, and the texts that may hold its
 phrases stream through it; a shard met by much text is compiled in several tasks, each
 with its part of the texts. Only windows around the occurrences located can be shared;
-a 128-bit digest of the whole window (BLAKE2) tells which are. The polynomial hashes
-only propose, so a collision of theirs costs time and changes nothing. A record is known
-by two independent hashes of its key, 128 bits together.
+a 96-bit digest of the whole window (BLAKE2) tells which are. The polynomial hashes
+only propose, so a collision of theirs costs time and changes nothing. Records are told
+apart by a 64-bit hash of their key, and only where they hold the same phrase or window:
+a pair of records that share text is taken for one with a chance of 2 to the -64, however
+many records there are.
 """
 
 from __future__ import annotations
@@ -117,7 +119,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 def _marks(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
+            texts = batch.column(1).to_pylist()
             for a, b in _packed([len(t) for t in texts]):
                 j = Joined(texts[a:b], span)
                 mark = j.mark[j.at]
@@ -125,19 +127,19 @@ def _marks(span: int):
                 first[1:] = (mark[1:] != mark[:-1]) | (j.of[1:] != j.of[:-1])
                 pairs = np.unique(np.stack([j.of[first].astype(np.uint64), mark[first]]), axis=1) if first.any() else np.zeros((2, 0), np.uint64)
                 of = pa.array(pairs[0].astype(np.int64) + a)
-                yield pa.RecordBatch.from_arrays([_signed(np.ascontiguousarray(pairs[1])), batch.column(0).take(of), batch.column(1).take(of)], ["mark", "rec", "sign"])
+                yield pa.RecordBatch.from_arrays([_signed(np.ascontiguousarray(pairs[1])), batch.column(0).take(of)], ["mark", "rec"])
 
     return run
 
 
 def _phrases(span: int):
-    """shard, phrase, rec, sign: the phrases of a text at places with a recurring hash, once each."""
+    """shard, phrase, rec: the phrases of a text at places with a recurring hash, once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = span // 2
         for batch in batches:
             row, shard, phrase = [], [], []
-            for i, (text, marks) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3))):
+            for i, (text, marks) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2))):
                 wanted = marks.values.field("mark").to_numpy().view(np.uint64)
                 homes = marks.values.field("shard").to_numpy()
                 order = np.argsort(wanted)
@@ -148,13 +150,13 @@ def _phrases(span: int):
                 phrase += [p for p, _ in found]
                 shard += [h for _, h in found]
             at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array([p.encode("utf-16-le", "surrogatepass") for p in phrase], pa.binary()), batch.column(0).take(at), batch.column(1).take(at)], ["shard", "phrase", "rec", "sign"])
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array([p.encode("utf-16-le", "surrogatepass") for p in phrase], pa.binary()), batch.column(0).take(at)], ["shard", "phrase", "rec"])
 
     return run
 
 
 def _windows(span: int):
-    """w, v (digest), rec, sign, tid, pos of the windows around located phrases. Of each shard the phrases come before the texts."""
+    """w, v (digest), rec, tid, pos of the windows around located phrases. Of each shard the phrases come before the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = span // 2
@@ -180,48 +182,40 @@ def _windows(span: int):
                 codes = memoryview(text.encode("utf-32-le", "surrogatepass"))
                 row += [i] * len(near)
                 pos.append(near.astype(np.int32))
-                digests += [hashlib.blake2b(codes[4 * p : 4 * (p + span)], digest_size=16).digest() for p in near.tolist()]
-            w = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                digests += [hashlib.blake2b(codes[4 * p : 4 * (p + span)], digest_size=12).digest() for p in near.tolist()]
+            w = np.frombuffer(b"".join(digests), np.dtype([("w", "<i8"), ("v", "<i4")]))
             at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(w[:, 0])), pa.array(np.ascontiguousarray(w[:, 1])), *(batch.column(c).take(at) for c in (4, 5, 6)), pa.array(np.concatenate(pos))], ["w", "v", "rec", "sign", "tid", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(w["w"])), pa.array(np.ascontiguousarray(w["v"])), *(batch.column(c).take(at) for c in (4, 5)), pa.array(np.concatenate(pos))], ["w", "v", "rec", "tid", "pos"])
 
     return run
 
 
-def _prepared(records: DataFrame, span: int) -> DataFrame:
-    r = records.select("table_name", "record_key", "text").where((F.length("text") >= span) & F.col("record_key").isNotNull())
-    return r.withColumn("rec", F.xxhash64("table_name", "record_key")).withColumn("sign", F.xxhash64(F.lit(span), "record_key", "table_name")).withColumn("tid", F.xxhash64("text"))
-
-
-#: More than one record: of all that are told apart by two hashes at least one differs.
-SEVERAL = "lo <> hi or lo_sign <> hi_sign"
+def _several(df: DataFrame, *keys: str) -> DataFrame:
+    """The keys that more than one record has, with the least of these (lo)."""
+    return df.groupBy(*keys).agg(F.min("rec").alias("lo"), F.max("rec").alias("hi")).where("lo <> hi").drop("hi")
 
 
-def _ends() -> list:
-    return [F.min("rec").alias("lo"), F.max("rec").alias("hi"), F.min("sign").alias("lo_sign"), F.max("sign").alias("hi_sign")]
-
-
-def shared_windows(records: DataFrame, span: int = SPAN) -> DataFrame:
-    """rec, sign, tid, pos of the windows of ``span`` characters that stand in another record too; one may come more than once."""
-    r = _prepared(records, span)
-    marks = written(r.select("rec", "sign", "text").mapInArrow(_marks(span), "mark bigint, rec bigint, sign bigint"))
-    several = written(marks.groupBy("mark").agg(*_ends()).where(SEVERAL).select("mark", F.xxhash64("lo", "lo_sign").alias("home")))
+def shared_windows(records: DataFrame, span: int = SPAN) -> tuple[DataFrame, DataFrame]:
+    """(windows, carriers): tid, pos of the windows of ``span`` characters that stand in another record too, some more than once; and tid, table_name, record_key, text of the texts that may hold any."""
+    r = records.select("table_name", "record_key", "text").where((F.length("text") >= span) & F.col("record_key").isNotNull())
+    r = r.withColumn("rec", F.xxhash64("table_name", "record_key"))
+    marks = written(r.select("rec", "text").mapInArrow(_marks(span), "mark bigint, rec bigint"))
+    several = written(_several(marks, "mark"))
     shards = max(1, -(-several.count() // SHARD))
-    near = several.select("mark", F.pmod("home", F.lit(shards)).cast("int").alias("shard"))
-    per = written(marks.join(near, "mark").groupBy("rec", "sign").agg(F.collect_set(F.struct("mark", "shard")).alias("marks")))
-    carriers = written(r.join(per, ["rec", "sign"]).select("rec", "sign", "text", "marks", "tid"))
-    phrases = carriers.select("rec", "sign", "text", "marks").mapInArrow(_phrases(span), "shard int, phrase binary, rec bigint, sign bigint")
-    phrases = phrases.groupBy("shard", "phrase").agg(*_ends()).where(SEVERAL).select("shard", "phrase")
-    sent = carriers.select("rec", "sign", "tid", "text", F.explode(F.array_distinct("marks.shard")).alias("shard"))
+    near = several.select("mark", F.pmod(F.hash("lo"), F.lit(shards)).cast("int").alias("shard"))
+    per = marks.join(near, "mark").groupBy("rec").agg(F.collect_set(F.struct("mark", "shard")).alias("marks"))
+    carriers = written(r.join(per, "rec").withColumn("tid", F.monotonically_increasing_id()))
+    phrases = carriers.select("rec", "text", "marks").mapInArrow(_phrases(span), "shard int, phrase binary, rec bigint")
+    phrases = _several(phrases, "shard", "phrase").drop("lo")
+    sent = carriers.select("rec", "tid", "text", F.explode(F.array_distinct("marks.shard")).alias("shard"))
     # one row per shard
     salts = written(sent.groupBy("shard").agg(F.ceil(F.sum(F.length("text")) / STREAM).cast("int").alias("salts")))
-    none = lambda *names: [F.lit(None).cast(t).alias(c) for c, t in names]
-    known = phrases.join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "phrase", *none(("text", "string"), ("rec", "bigint"), ("sign", "bigint"), ("tid", "bigint")))
-    sent = sent.join(salts, "shard").select("shard", F.pmod(F.hash("rec", "tid"), F.col("salts")).alias("salt"), *none(("phrase", "binary")), "text", "rec", "sign", "tid")
+    known = phrases.join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "phrase", F.lit(None).cast("string").alias("text"), F.lit(None).cast("bigint").alias("rec"), F.lit(None).cast("bigint").alias("tid"))
+    sent = sent.join(salts, "shard").select("shard", F.pmod(F.hash("tid"), F.col("salts")).alias("salt"), F.lit(None).cast("binary").alias("phrase"), "text", "rec", "tid")
     stream = known.unionByName(sent).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("phrase").isNull())
-    w = written(stream.mapInArrow(_windows(span), "w bigint, v bigint, rec bigint, sign bigint, tid bigint, pos int"))
-    common = w.groupBy("w", "v").agg(*_ends()).where(SEVERAL).select("w", "v")
-    return w.join(common, ["w", "v"], "left_semi").select("rec", "sign", "tid", "pos")
+    w = written(stream.mapInArrow(_windows(span), "w bigint, v int, rec bigint, tid bigint, pos int"))
+    common = _several(w, "w", "v").drop("lo")
+    return w.join(common, ["w", "v"], "left_semi").select("tid", "pos"), carriers.select("tid", "table_name", "record_key", "text")
 
 
 def shared(records: DataFrame, span: int = SPAN) -> DataFrame:
@@ -233,12 +227,11 @@ def shared(records: DataFrame, span: int = SPAN) -> DataFrame:
     of different texts under one key that with most shared characters is reported.
     Null and shorter texts share nothing. Records without a key are left out.
     """
-    who = ["rec", "sign", "tid"]
-    before = F.lag("pos").over(Window.partitionBy(*who).orderBy("pos"))
-    gained = shared_windows(records, span).select(*who, F.least(F.lit(span), F.coalesce(F.col("pos") - before, F.lit(span))).alias("gain"))
-    covered = gained.groupBy(*who).agg(F.sum("gain").alias("shared_chars"))
-    keys = _prepared(records, span).select(*who, "table_name", "record_key", F.length("text").alias("n_chars"))
-    out = keys.join(covered, who)
+    windows, carriers = shared_windows(records, span)
+    before = F.lag("pos").over(Window.partitionBy("tid").orderBy("pos"))
+    gained = windows.select("tid", F.least(F.lit(span), F.coalesce(F.col("pos") - before, F.lit(span))).alias("gain"))
+    covered = gained.groupBy("tid").agg(F.sum("gain").alias("shared_chars"))
+    out = carriers.select("tid", "table_name", "record_key", F.length("text").alias("n_chars")).join(covered, "tid")
     best = F.max(F.struct("shared_chars", F.col("n_chars")))
     out = out.groupBy("table_name", "record_key").agg(best.alias("b"))
     return out.select("table_name", "record_key", "b.n_chars", "b.shared_chars", F.round(F.col("b.shared_chars") / F.col("b.n_chars"), 6).alias("share"))
