@@ -68,19 +68,43 @@ def conversations(chats: DataFrame, messages: DataFrame) -> DataFrame:
     return turns.select(F.col("chat").alias("chat_id"), (F.col("no") + F.col("before")).cast("int").alias("turn_no"), "id", F.col("speaker").alias("role"))
 
 
-def clock_offsets(chats: DataFrame, messages: DataFrame) -> DataFrame:
-    """chat_id, replies, offset_s, error_s, infeasible: how far the assistant's clock is off in each chat.
+def _followed(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows (chat, speaker, t, ...) with ``was``: speaker, t and shift of the row before in the chat, in the order given.
+
+    As in ``conversations``: a range partitioning, and one row per chat and partition that carries its end.
+    """
+    rows = written(rows.repartitionByRange("chat", *order).withColumn("b", F.spark_partition_id()))
+    here = F.struct("speaker", "t", "shift")
+    ends = rows.groupBy("chat", "b").agg(F.max_by(here, F.struct(*order)).alias("end"))
+    ends = ends.select("chat", "b", F.lag("end").over(Window.partitionBy("chat").orderBy("b")).alias("carried"))
+    prev = rows.withColumn("was", F.lag(here).over(Window.partitionBy("chat", "b").orderBy(*order)))
+    return prev.join(ends, ["chat", "b"]).withColumn("was", F.coalesce("was", "carried"))
 
-    A reply should stand duration_ms after the question before it (by id, the order
-    of arrival). The offset that fits these constraints best by least squares is the
-    mean of what they are missed by. A chat is infeasible if, with the offset taken
-    off, some reply would still stand before its question by more than a second.
-    Chats with no readable pair are left out.
+
+def clock_offsets(chats: DataFrame, messages: DataFrame) -> DataFrame:
+    """chat_id, replies, offset_s, error_s, infeasible, moved: how far the assistant's clock is off from the user's in each chat.
+
+    In the order of arrival (id) a message stands after the one of the other speaker
+    right before it. A reply bounds the offset from above by its distance to the
+    question and tells it, less duration_ms; a question bounds it from below by what it
+    is early against the reply before. The offset is the least squares fit of all
+    replies within the bounds of all messages: their mean, or the bound next to it. A
+    chat is infeasible if the bounds exclude each other by more than a second. moved
+    counts the messages that, with the offset taken off, change places with the one
+    before them in the order of created_at. Chats without a readable reply are left out.
     """
     rows = _rows(chats, messages).where("not broken")
     took = messages.groupBy("id").agg(F.min("duration_ms").alias("ms"))
-    arrival = Window.partitionBy("chat").orderBy("id")
-    rows = rows.join(took, "id").withColumn("asked", F.when(F.lag("speaker").over(arrival) == "user", F.lag("t").over(arrival)))
-    pair = rows.where("speaker = 'assistant' and asked is not null").withColumn("gap", (F.col("t") - F.col("asked")) / 1e6).withColumn("off", F.col("gap") - F.coalesce(F.col("ms"), F.lit(0)) / 1e3)
-    fit = pair.groupBy("chat").agg(F.count("*").alias("replies"), F.avg("off").alias("offset_s"), F.stddev_pop("off").alias("error_s"), F.min("gap").alias("least"))
-    return fit.select(F.col("chat").alias("chat_id"), "replies", F.round("offset_s", 3).alias("offset_s"), F.round("error_s", 3).alias("error_s"), (F.col("least") - F.col("offset_s") < -1).alias("infeasible"))
+    rows = rows.join(took, "id").select("chat", "id", "t", "speaker", F.coalesce("ms", F.lit(0)).alias("ms"), F.lit(0).cast("bigint").alias("shift"))
+    seen = _followed(rows, "id").where("was.speaker <> speaker").withColumn("gap", (F.col("t") - F.col("was.t")) / 1e6)
+    reply = F.col("speaker") == "assistant"
+    fit = seen.groupBy("chat").agg(
+        F.count_if(reply).alias("replies"), F.avg(F.when(reply, F.col("gap") - F.col("ms") / 1e3)).alias("told"), F.stddev_pop(F.when(reply, F.col("gap") - F.col("ms") / 1e3)).alias("error_s"),
+        F.min(F.when(reply, F.col("gap"))).alias("most"), F.max(F.when(~reply, -F.col("gap"))).alias("least"),
+    ).where("replies > 0")
+    fit = fit.withColumn("offset_s", F.least("most", F.greatest("told", F.coalesce("least", "told")))).withColumn("infeasible", F.coalesce(F.col("least") > F.col("most") + 1, F.lit(False)))
+    fit = written(fit)
+    moved = rows.join(fit.where("not infeasible").select("chat", "offset_s"), "chat").withColumn("shift", F.when(reply, (F.col("offset_s") * 1e6).cast("bigint")).otherwise(0))
+    moved = _followed(moved, "t", "id").where("t - shift < was.t - was.shift").groupBy("chat").agg(F.count("*").alias("moved"))
+    out = fit.join(moved, "chat", "left")
+    return out.select(F.col("chat").alias("chat_id"), "replies", F.round("offset_s", 3).alias("offset_s"), F.round("error_s", 3).alias("error_s"), "infeasible", F.coalesce("moved", F.lit(0)).alias("moved"))

@@ -3,8 +3,9 @@
 Marks are read from one scan per text, outside code. Signs that two kinds share go to
 the kind of the rest. Cleaning turns a text into words and tags; on whole HTML pages
 the content region is the contiguous stretch of maximum score, words counting for
-and tags against it (a linear scan); its weights come from labelled pages
-(``fit_weights``) or the defaults below.
+and tags against it (a linear scan), with what lies between it and the next tag of
+layout on either side. The weights come from pages of the table that label their
+content themselves (<main>, <article>; ``weights``), or are the defaults below.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ PRE = re.compile(r"<(pre|code|script|style|nowiki|syntaxhighlight|source)\b[^>]*
 VERBATIM = re.compile(r"\\begin\{(verbatim\*?|lstlisting|minted|alltt|code)\}(.*?)(\\end\{\1\}|\Z)", re.S)
 INDENTED = re.compile(r"(?:\A|^[^\S\n]*\n)(?:(?: {4}|\t)[^\S\n]*\S[^\n]*(?:\n|\Z))+", re.M)
 INLINE = re.compile(r"(?<!`)`([^`\n]+)`(?!`)")
-MATH = re.compile(r"\$\$.+?\$\$|(?<![\\\w$])\$(?=[^$\n]*[\\^_={}])(?!\d+(?:[.,]\d+)? )[^$\n]{1,400}\$(?!\w)|\\\[.+?\\\]|\\\(.+?\\\)", re.S)
+MATH = re.compile(r"\$\$.+?\$\$|(?<![\\\w$])\$(?=[^$\n]*[\\^_={}])(?!\d+(?:[.,]\d+)? )[^$\n]+\$(?!\w)|\\\[.+?\\\]|\\\(.+?\\\)", re.S)
 LATEX = re.compile(rf"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])*\{{|\\(?:{BARE_COMMANDS})(?![A-Za-z])|(?<=[\w)])\\[%&_#$](?!\w*\\)")
 WIKI = re.compile(r"\[\[[^\[\]\n]+\]\]|\{\{[^{}\n]+\}\}|^(={2,6})[ \t]*[^=\n]+?[ \t]*\1[ \t]*$|^\{\|.*$|^\|(?:-+[ \t]*$|\}.*$)|'''[^'\n]+'''|(?<![\w'`])''[^'\n]+''(?![\w'])|__(?:TOC|NOTOC|FORCETOC|NOEDITSECTION|NOINDEX|INDEX)__|\[https?://\S+ [^\]\n]+\]", re.M)
 WIKI_SIGNS = ("[[", "{{", "''", "==", "{|", "|-", "|}", "__", "[http")
@@ -48,13 +49,18 @@ MARKDOWN = (
     ("\n===", re.compile(r"[^\s=][^\n]*\n={3,}[ \t]*$", re.M)),
     ("\n---", re.compile(r"^(?![|-])[^\n]*\S[^\n]*\n-{3,}[ \t]*$", re.M)),
     ("|\n|", re.compile(r"\|[ \t]*\n\|[ \t:|]*-[ \t:|-]*\|[ \t]*$", re.M)),
-    ("*", re.compile(r"(?<![\w*\\])\*(?=[^\s*\d])[^*\n]{1,80}?(?<=[^\s*])\*(?![\w*])")),
+    ("*", re.compile(r"(?<![\w*\\])\*(?=[^\s*\d])[^*\n]+?(?<=[^\s*])\*(?![\w*])")),
 )
 HASH_LINE, STAR_LINE, DASH_LINE = re.compile(r"^# \S", re.M), re.compile(r"^\*{1,4} ?[^\s*]", re.M), re.compile(r"^[-+] \S", re.M)
 QUICK = re.compile(r"[<&\\`*_~#\[{|$']|^[=>+-]", re.M)
 
-#: Weights of words and tags for the content region, set by hand, as there is no labelled page; ``fit_weights`` gives others.
-WORD, LINK_WORD, TAG_COST = 1.0, -0.5, -3.25
+#: Weights of a word, a word in a link, a tag that sets text and a tag that sets out the page, if no page of the table is labelled.
+WEIGHTS = (1.0, -0.5, -0.3, -3.25)
+CLASSES = ("word", "link", "text_tag", "page_tag")
+TEXT_TAG = re.compile(r"</?(?:h[1-6]|p|li|ul|ol|dl|dt|dd|b|i|u|em|strong|code|pre|sup|sub|td|th|tr|table|thead|tbody|caption|span|br|blockquote|a|img|small|cite|q|kbd|mark)\b", re.I)
+LINK, LINK_END = re.compile(r"<a\b", re.I), re.compile(r"</a\b", re.I)
+#: Pages that the weights are fitted on, at most.
+SAMPLE = 10_000
 
 
 def kinds(text: str | None) -> list[str]:
@@ -104,63 +110,83 @@ def kinds(text: str | None) -> list[str]:
     return [k for k in KINDS if k in found]
 
 
-def content_region(tokens: list[tuple[str, bool, bool]], word: float = WORD, link_word: float = LINK_WORD, tag: float = TAG_COST) -> tuple[int, int]:
-    """Start and end of the contiguous tokens of maximum score; tokens are (text, is tag, within a link)."""
+def content_region(classes: list[str], weights: tuple[float, float, float, float] = WEIGHTS) -> tuple[int, int]:
+    """Start and end of the contiguous tokens of maximum score; of each token its class (``CLASSES``)."""
+    worth = dict(zip(CLASSES, weights))
     best = here = 0.0
     start = 0
     span = (0, 0)
-    for k, (_, is_tag, link) in enumerate(tokens):
+    for k, c in enumerate(classes):
         if here <= 0:
             here, start = 0.0, k
-        here += tag if is_tag else link_word if link else word
+        here += worth[c]
         if here > best:
             best, span = here, (start, k + 1)
     return span
 
 
-def fit_weights(pages: Iterable[tuple[list[tuple[str, bool, bool]], tuple[int, int]]], bound: int = 10_000) -> tuple[float, float, float]:
-    """Weights (word, link word, tag) from at most ``bound`` pages with their content region: log odds of standing inside, scaled to 1 for a word."""
-    from itertools import islice
+def fit_weights(pages: Iterable[tuple[list[str], tuple[int, int]]]) -> tuple[float, float, float, float]:
+    """Weights from pages (classes of the tokens, content region): log odds of standing inside, scaled to 1 for a word; tags count against."""
     from math import log
 
-    count = {c: [1.0, 1.0] for c in ("word", "link", "tag")}
-    for tokens, (a, b) in islice(pages, bound):
-        for k, (_, is_tag, link) in enumerate(tokens):
-            count["tag" if is_tag else "link" if link else "word"][a <= k < b] += 1
+    count = {c: [1.0, 1.0] for c in CLASSES}
+    for classes, (a, b) in pages:
+        for k, c in enumerate(classes):
+            count[c][a <= k < b] += 1
     odds = {c: log(inside / outside) for c, (outside, inside) in count.items()}
     scale = odds["word"] if odds["word"] > 0 else 1.0
-    return 1.0, odds["link"] / scale, min(-0.1, odds["tag"] / scale)
+    return 1.0, odds["link"] / scale, min(-0.1, odds["text_tag"] / scale), min(-1.0, odds["page_tag"] / scale)
 
 
 HTML_TOKEN = re.compile(r"<[^<>]+>|[^\s<]+|<")
-
-
-def _page_content(text: str) -> str:
-    """The content region of a whole page, from the first heading or paragraph that belongs to it."""
-    marks = [(m.group(), m.group().startswith("<") and len(m.group()) > 1, m.start(), m.end()) for m in HTML_TOKEN.finditer(text)]
-    tokens, depth = [], 0
-    for t, is_tag, _, _ in marks:
-        if is_tag and re.match(r"<a\b", t, re.I):
-            depth += 1
-        elif is_tag and re.match(r"</a\b", t, re.I):
-            depth = max(0, depth - 1)
-        heading = is_tag and re.match(r"</?(?:h[1-6]|p|li|ul|ol|b|i|em|strong|code|pre|sup|sub|td|th|tr|table|span|br)\b", t, re.I)
-        tokens.append((t, is_tag and not heading, depth > 0))
-    a, b = content_region(tokens)
+UNSEEN = re.compile(r"(?is)<!--.*?(?:-->|$)|<(script|style)\b.*?(?:</\1\s*>|$)")
+LABEL = re.compile(r"(?is)<(main|article)\b[^>]*>(.*)</\1\s*>")
+
+
+def tokens(text: str) -> tuple[list[re.Match], list[str]]:
+    """The words and tags of a page, and their classes."""
+    marks, classes, depth = list(HTML_TOKEN.finditer(text)), [], 0
+    for m in marks:
+        t = m.group()
+        if t[0] == "<" and len(t) > 1:
+            depth = depth + 1 if LINK.match(t) else max(0, depth - 1) if LINK_END.match(t) else depth
+            classes.append("text_tag" if TEXT_TAG.match(t) else "page_tag")
+        else:
+            classes.append("link" if depth else "word")
+    return marks, classes
+
+
+def weights(documents: DataFrame, sample: int = SAMPLE) -> tuple[float, float, float, float]:
+    """The weights fitted on at most ``sample`` pages that say where their content is; the defaults if there are none."""
+    pages = []
+    for (text,) in documents.where(F.col("text").rlike(r"(?i)<body\b") & F.col("text").rlike(r"(?i)</(?:main|article)\s*>")).select("text").limit(sample).toLocalIterator():
+        text = UNSEEN.sub(" ", re.sub(r"(?is)^.*?<body\b[^>]*>|</body\s*>.*$", "", text))
+        if label := LABEL.search(text):
+            marks, classes = tokens(text)
+            inside = [k for k, m in enumerate(marks) if label.start(2) <= m.start() < label.end(2)]
+            if inside:
+                pages.append((classes, (inside[0], inside[-1] + 1)))
+    return fit_weights(pages) if pages else WEIGHTS
+
+
+def _page_content(text: str, worth: tuple[float, float, float, float]) -> str:
+    """The content region of a whole page, grown to the next tag of layout on either side."""
+    marks, classes = tokens(text)
+    a, b = content_region(classes, worth)
     if a == b:
         return text
-    start, end = marks[a][2], marks[b - 1][3]
-    while a and marks[a - 1][1] and re.match(r"<(?:h[1-6]|p|li|ul|ol|pre|code|b|i)\b", marks[a - 1][0], re.I):
+    while a and classes[a - 1] != "page_tag":
         a -= 1
-        start = marks[a][2]
-    return text[start:end]
+    while b < len(marks) and classes[b] != "page_tag":
+        b += 1
+    return text[marks[a].start() : marks[b - 1].end()]
 
 
-def _clean_html(text: str) -> str:
+def _clean_html(text: str, worth: tuple[float, float, float, float] = WEIGHTS) -> str:
     if re.search(r"<body\b", text, re.I):
         body = re.sub(r"(?is)^.*?<body\b[^>]*>|</body\s*>.*$", "", text)
-        body = re.sub(r"(?is)<(script|style|nav|header|footer|aside|form)\b.*?</\1\s*>", " ", body)
-        text = _page_content(body)
+        text = _page_content(UNSEEN.sub(" ", body), worth)
+        text = re.sub(r"(?is)<(nav|header|footer|aside|form)\b.*?</\1\s*>", " ", text)
     text = re.sub(r"(?is)<!--.*?(?:-->|$)|<!DOCTYPE[^>]*>|<(script|style|head)\b.*?(?:</\1\s*>|$)", " ", text)
     held: list[str] = []
 
@@ -179,17 +205,19 @@ def _clean_html(text: str) -> str:
     return re.sub("\x00(\\d+)\x00", lambda m: held[int(m.group(1))], text)
 
 
-def _braces(text: str, at: int) -> int:
-    """The place of the brace that closes the one at ``at``, or -1."""
-    depth = 0
-    for k in range(at, min(len(text), at + 20_000)):
-        if text[k] == "{" and text[k - 1 : k] != "\\":
-            depth += 1
-        elif text[k] == "}" and text[k - 1 : k] != "\\":
-            depth -= 1
-            if not depth:
-                return k
-    return -1
+BRACE = re.compile(r"\\.|[{}]", re.S)
+COMMAND = re.compile(r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{")
+
+
+def _braces(text: str) -> dict[int, int]:
+    """The place of each opening brace with that of the one that closes it."""
+    pairs, held = {}, []
+    for m in BRACE.finditer(text):
+        if m.group() == "{":
+            held.append(m.start())
+        elif m.group() == "}" and held:
+            pairs[held.pop()] = m.start()
+    return pairs
 
 
 def _clean_latex(text: str) -> str:
@@ -210,13 +238,10 @@ def _clean_latex(text: str) -> str:
     text = re.sub(r"\\(?:begin|end)\{[^}]*\}(?:\[[^\]]*\]|\{[^}]*\})*", "\n", text)
     text = re.sub(r"[ ~]?\\(?:cite[a-z]*|label)\*?(?:\[[^\]]*\])*\{[^}]*\}", "", text)
     text = re.sub(r"\\(?:ref|eqref|autoref|pageref)\{([^}]*)\}", r"\1", text)
-    for _ in range(8):
-        m = re.search(r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{", text)
-        if not m:
-            break
-        out, at = [], 0
-        while m:
-            end = _braces(text, m.end() - 1)
+    while COMMAND.search(text):
+        ends, out, at = _braces(text), [], 0
+        while m := COMMAND.search(text, at):
+            end = ends.get(m.end() - 1, -1)
             out.append(text[at : m.start()])
             if end < 0:
                 out.append(" ")
@@ -225,7 +250,6 @@ def _clean_latex(text: str) -> str:
                 inner = text[m.end() : end]
                 out.append(f" ({inner})" if m.group().startswith("\\footnote") else inner)
                 at = end + 1
-            m = re.compile(r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{").search(text, at)
         text = "".join(out) + text[at:]
     text = re.sub(rf"\\(?:{BARE_COMMANDS})(?![A-Za-z])\s?", "", text)
     text = re.sub(r"\\([%&_#$])", r"\1", text).replace("~", " ")
@@ -236,8 +260,9 @@ def _clean_wiki(text: str) -> str:
     text = re.sub(r"\[\[(?:Category|Kategorie|Catégorie|Categoría):[^\]\n]*\]\]|__[A-Z]+__", "", text)
     text = re.sub(r"\[\[(?:File|Image|Datei|Fichier|Archivo):[^\]|\n]*(?:\|[^\]|\n]*)*?\|?([^\]|\n]*)\]\]", r"\1", text)
     text = re.sub(r"\[\[(?:[^\]|\n]*\|)?([^\]\n]*)\]\]", r"\1", text)
-    for _ in range(3):
-        text = re.sub(r"\{\{[^{}]*\}\}", "", text)
+    n = 1
+    while n:
+        text, n = re.subn(r"\{\{[^{}]*\}\}", "", text)
     text = re.sub(r"^(={1,6})[ \t]*([^=\n]+?)[ \t]*\1[ \t]*$", lambda m: "#" * len(m.group(1)) + " " + m.group(2), text, flags=re.M)
     text = re.sub(r"'{2,5}", "", text)
     text = re.sub(r"^\{\|.*$|^\|[-}].*$", "", text, flags=re.M)
@@ -269,7 +294,7 @@ def _clean_markdown(text: str) -> str:
     return re.sub("\x02(\\d+)\x02", lambda m: held[int(m.group(1))], text)
 
 
-def clean(text: str | None) -> str | None:
+def clean(text: str | None, worth: tuple[float, float, float, float] = WEIGHTS) -> str | None:
     """Text without marks: headings as '# ', list items as '- ', code between ``` lines, formulas between $ signs.
 
     A text without markup comes back as it is; null stays null.
@@ -281,19 +306,19 @@ def clean(text: str | None) -> str | None:
         return text
     for kind, how in (("latex", _clean_latex), ("html", _clean_html), ("wiki", _clean_wiki), ("markdown", _clean_markdown)):
         if kind in found:
-            text = how(text)
+            text = how(text, worth) if kind == "html" else how(text)
     text = re.sub(r"[ \t]+\n", "\n", text)
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
-def _run(with_text: bool):
+def _run(with_text: bool, worth: tuple[float, float, float, float] = WEIGHTS):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, kind, out = [], [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 found = kinds(text)
                 if with_text and found:
-                    row.append(k), kind.append(found), out.append(clean(text))
+                    row.append(k), kind.append(found), out.append(clean(text, worth))
                 elif found:
                     row += [k] * len(found)
                     kind += found
@@ -320,4 +345,4 @@ def found(documents: DataFrame) -> DataFrame:
 def cleaned(documents: DataFrame) -> DataFrame:
     """doc_id, markups, clean_text of the documents with markup; all others are clean as they stand."""
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return _marked(documents).mapInArrow(_run(True), f"doc_id {kind}, markups array<string>, clean_text string")
+    return _marked(documents).mapInArrow(_run(True, weights(documents)), f"doc_id {kind}, markups array<string>, clean_text string")

@@ -6,8 +6,9 @@ source gets whole epochs of all its documents first, and then, for the rest of i
 budget, the documents of smallest key whose tokens still fit.
 
 The running token sum within a source is made in two steps, so that no task holds
-a source: sums per range of keys, a window over those few sums, and a window
-within each range. The number of ranges grows with the documents.
+a source: the documents are range-partitioned by source and key (by quantiles, so
+whatever the weights, the parts are alike), and sums per part, a window over those few
+sums, and a window within each part give the rest.
 """
 
 from __future__ import annotations
@@ -19,8 +20,6 @@ from ..session import written
 from . import tokens
 
 SEED = 20_240_501
-#: Documents in a range of keys, about.
-RANGE = 20_000
 
 
 def quality(text: Column) -> Column:
@@ -39,8 +38,7 @@ def _plan(spark, stats: DataFrame, targets: DataFrame) -> DataFrame:
     s = s.withColumn("total", F.min(F.when(F.col("has"), F.col("tokens") * F.col("max_repeats") / F.col("goal"))).over(every))
     s = s.withColumn("budget", F.when(F.col("has"), F.floor(F.col("goal") * F.col("total") + 1e-6)).otherwise(0))
     s = s.withColumn("epochs", F.when(F.col("has"), F.least(F.floor(F.col("budget") / F.col("tokens")), F.col("max_repeats"))).otherwise(0).cast("int"))
-    s = s.withColumn("rest", F.when(F.col("epochs") < F.col("max_repeats"), F.col("budget") - F.col("epochs") * F.coalesce("tokens", F.lit(0))).otherwise(0))
-    return s.withColumn("ranges", F.greatest(F.lit(1), F.ceil(F.coalesce("docs", F.lit(0)) / RANGE)).cast("int"))
+    return s.withColumn("rest", F.when(F.col("epochs") < F.col("max_repeats"), F.col("budget") - F.col("epochs") * F.coalesce("tokens", F.lit(0))).otherwise(0))
 
 
 def mix(docs: DataFrame, targets: DataFrame, path: str | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -62,12 +60,13 @@ def mix(docs: DataFrame, targets: DataFrame, path: str | None = None, seed: int
     base = written(counted.withColumn("key", -F.log(u) / F.col("w")).drop("w"))
     stats = base.groupBy("source").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"))
     plan = written(_plan(docs.sparkSession, stats, targets).coalesce(1))
-    small = F.broadcast(plan.select("source", "epochs", "rest", "ranges"))  # a row per target
-    d = base.join(small, "source").withColumn("at", F.least(F.floor((1 - F.exp(-F.col("key"))) * F.col("ranges")), F.col("ranges") - 1))
+    small = F.broadcast(plan.select("source", "epochs", "rest"))  # a row per target
+    order = ["key", "n_tokens", "doc_id"]
+    d = written(base.repartitionByRange("source", *order).withColumn("at", F.spark_partition_id()))
     sums = d.groupBy("source", "at").agg(F.sum("n_tokens").alias("s"))
     before = sums.select("source", "at", (F.sum("s").over(Window.partitionBy("source").orderBy("at")) - F.col("s")).alias("before"))
-    within = Window.partitionBy("source", "at").orderBy("key", "n_tokens", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("within", F.sum("n_tokens").over(within)).join(before, ["source", "at"])
+    within = Window.partitionBy("source", "at").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("within", F.sum("n_tokens").over(within)).join(F.broadcast(before), ["source", "at"]).join(small, "source")  # a row per part and source
     d = d.withColumn("copies", F.col("epochs") + (F.col("before") + F.col("within") <= F.col("rest")).cast("int"))
     chosen = written(d.where("copies > 0").select("doc_id", "source", "n_tokens", "copies"))
     used = chosen.groupBy("source").agg(F.sum("copies").alias("copies"), F.sum(F.col("copies") * F.col("n_tokens")).alias("used_tokens"), F.max("copies").alias("most"))

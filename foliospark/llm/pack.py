@@ -3,9 +3,10 @@
 Items come in order of falling size. The open containers lie in order of the room
 they have left; the search starts at the tightest that takes the item and goes on
 to the next until one is found that is compatible: it holds no copy of the item's
-text, and no more sources than allowed. If none is, the tightest with room is
-taken, as a copy beside a copy costs nothing while a new container would leave
-room unused; the row says so.
+text (letters and digits alone count), and no more sources than allowed. If none is, a
+new container is opened, unless copies alone stand against it: then the tightest of
+these is taken (not if ``strict``), as a copy beside a copy costs nothing while a third
+of all items may be copies of one text, and the row says so.
 
 No task packs an unbounded group: a group is divided into shards of at most
 ``SHARD`` items by a dense index, or by a hash where the number of shards follows the
@@ -18,7 +19,7 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import split
@@ -26,7 +27,12 @@ from . import split
 SHARD = 8_192
 
 
-def fill(sizes: list[int], clusters: list[int], sources: list, capacity: int, max_sources: int | None = None) -> list[tuple[int, bool]]:
+def cluster(text: Column) -> Column:
+    """Equal for texts of equal letters and digits, whatever their case, blanks and marks."""
+    return F.xxhash64(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+
+
+def fill(sizes: list[int], clusters: list[int], sources: list, capacity: int, max_sources: int | None = None, strict: bool = False) -> list[tuple[int, bool]]:
     """For items by falling size, equals by cluster: the container of each, and whether it is compatible."""
     bits: dict[int, int] = {}
     several: set[int] = set()
@@ -44,14 +50,20 @@ def fill(sizes: list[int], clusters: list[int], sources: list, capacity: int, ma
         s = 1 << source_bit.setdefault(source, len(source_bit))
         first = bisect_left(rooms, (size, -1))
         at = max(first, resume) if last == (size, cluster, source) else first
+        beside = None
         while at < len(rooms):
             b = rooms[at][1]
-            if not copies[b] & bit and (max_sources is None or (held[b] | s).bit_count() <= max_sources):
-                break
+            if max_sources is None or (held[b] | s).bit_count() <= max_sources:
+                if not copies[b] & bit:
+                    break
+                beside = at if beside is None else beside
             at += 1
         fits = True
-        if at == len(rooms) and first < len(rooms):
-            at, fits = first, False
+        if at == len(rooms) and not strict:
+            if beside is None and at > first and resume > first:  # as for the equal item before, without compatible ones
+                beside = next((k for k in range(first, len(rooms)) if max_sources is None or (held[rooms[k][1]] | s).bit_count() <= max_sources), None)
+            if beside is not None:
+                at, fits = beside, False
         if at < len(rooms):
             room, b = rooms.pop(at)
         else:
@@ -66,20 +78,20 @@ def fill(sizes: list[int], clusters: list[int], sources: list, capacity: int, ma
     return out
 
 
-def pack(items: DataFrame, group: str, shard: str, max_sources: int | None = None) -> DataFrame:
-    """Containers for items (group, shard, item_key, part, size, cluster, source, capacity).
+def pack(items: DataFrame, group: str, shard: str, strict: bool = False) -> DataFrame:
+    """Containers for items (group, shard, item_key, part, size, cluster, source, capacity, max_sources; the last two alike in a group, max_sources null without a limit).
 
-    Adds container_no (from 0 within group and shard), compatible, and drops cluster.
+    Adds container_no (from 0 within group and shard), compatible, and drops cluster and max_sources.
     Every size must be within the capacity. Items of one group and shard are packed
     by one task, others never meet in a container.
     """
-    cols = [group, shard, "item_key", "part", "size", "cluster", "source", "capacity"]
+    cols = [group, shard, "item_key", "part", "size", "cluster", "source", "capacity", "max_sources"]
     src = items.select(*cols).repartition(group, shard).sortWithinPartitions(group, shard, F.desc("size"), "cluster", "source", "item_key", "part")
     kinds = {f.name: f.dataType.simpleString() for f in src.schema}
 
     def emit(rows: pa.Table) -> pa.RecordBatch:
-        placed = fill(rows["size"].to_pylist(), rows["cluster"].to_pylist(), rows["source"].to_pylist(), rows["capacity"][0].as_py(), max_sources)
-        t = rows.drop_columns(["cluster"]).append_column("container_no", pa.array([b for b, _ in placed], pa.int32())).append_column("compatible", pa.array([c for _, c in placed], pa.bool_()))
+        placed = fill(rows["size"].to_pylist(), rows["cluster"].to_pylist(), rows["source"].to_pylist(), rows["capacity"][0].as_py(), rows["max_sources"][0].as_py(), strict)
+        t = rows.drop_columns(["cluster", "max_sources"]).append_column("container_no", pa.array([b for b, _ in placed], pa.int32())).append_column("compatible", pa.array([c for _, c in placed], pa.bool_()))
         return t.combine_chunks().to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,11 +114,11 @@ def pack(items: DataFrame, group: str, shard: str, max_sources: int | None = Non
         if held:
             yield emit(pa.concat_tables(held))
 
-    out = [c for c in cols if c != "cluster"]
+    out = [c for c in cols if c not in ("cluster", "max_sources")]
     return src.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in out) + ", container_no int, compatible boolean")
 
 
-def containers(blocks: DataFrame, documents: DataFrame, budgets: DataFrame, max_sources: int | None = None) -> DataFrame:
+def containers(blocks: DataFrame, documents: DataFrame, budgets: DataFrame, max_sources: int | None = None, strict: bool = False) -> DataFrame:
     """All texts of blocks (per stem) and of documents (together) in containers of the 'pack' capacities.
 
     Columns: table_name, stem (null for documents), shard, container_no, item_key,
@@ -114,6 +126,7 @@ def containers(blocks: DataFrame, documents: DataFrame, budgets: DataFrame, max_
     at natural boundaries, without overlap, into parts numbered from 1; any other
     text has part 0. A null text is no item; an empty or blank one is, as it stands.
     Rows repeated under one key are one item; a null key part counts as empty.
+    ``max_sources`` holds for documents; the blocks of a container are of one paper.
     """
     small = F.broadcast(split.limits(budgets, "pack").drop("overlap_chars"))  # a row per table
     b = blocks.where("text is not null").select(
@@ -131,11 +144,12 @@ def containers(blocks: DataFrame, documents: DataFrame, budgets: DataFrame, max_
     )
     items = b.unionByName(d).join(small, "table_name").withColumn("n", F.length("text")).withColumn("home", F.concat_ws("\u0001", "table_name", "stem"))
     base = ["table_name", "stem", "home", "shard", "item_key", "source", "max_chars"]
-    whole = items.where("n <= max_chars").select(*base, F.lit(0).alias("part"), F.col("n").alias("size"), F.xxhash64("text").alias("cluster"))
+    whole = items.where("n <= max_chars").select(*base, F.lit(0).alias("part"), F.col("n").alias("size"), cluster(F.col("text")).alias("cluster"))
     parts = split.pieces(items.where("n > max_chars").withColumn("none", F.lit(0)), base, "max_chars", "none")
-    parts = parts.select(*base, F.col("piece_no").alias("part"), (F.col("end_char") - F.col("start_char")).cast("int").alias("size"), F.xxhash64("piece").alias("cluster"))
+    parts = parts.select(*base, F.col("piece_no").alias("part"), (F.col("end_char") - F.col("start_char")).cast("int").alias("size"), cluster(F.col("piece")).alias("cluster"))
     every = whole.unionByName(parts).repartition("home", "shard").dropDuplicates(["home", "shard", "item_key", "part"])
-    packed = pack(every.withColumnRenamed("max_chars", "capacity"), "home", "shard", max_sources)
+    most = F.when(F.startswith("home", F.lit("documents")), F.lit(max_sources)).cast("int")
+    packed = pack(every.withColumnRenamed("max_chars", "capacity").withColumn("max_sources", most), "home", "shard", strict)
     return packed.select(
         F.expr("substring_index(home, '\u0001', 1)").alias("table_name"), F.when(F.expr("substring_index(home, '\u0001', 1)") == "blocks", F.expr("substring(home, instr(home, '\u0001') + 1)")).alias("stem"),
         "shard", "container_no", "item_key", "part", "size", "source", "capacity", "compatible",

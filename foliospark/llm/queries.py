@@ -49,12 +49,21 @@ def p4_clocks(spark: SparkSession, d: str) -> DataFrame:
     return chats.clock_offsets(table(spark, d, "chats"), table(spark, d, "messages"))
 
 
+#: Sources that the documents of one container may come from, at most.
+SOURCES = 4
+
+
+def _packed(spark: SparkSession, d: str, strict: bool = False) -> DataFrame:
+    return pack.containers(table(spark, d, "blocks"), table(spark, d, "documents"), table(spark, d, "budgets"), SOURCES, strict)
+
+
 def p5_pack(spark: SparkSession, d: str) -> DataFrame:
-    return pack.containers(table(spark, d, "blocks"), table(spark, d, "documents"), table(spark, d, "budgets"))
+    return _packed(spark, d)
 
 
 def p5_fill(spark: SparkSession, d: str) -> DataFrame:
-    return pack.fill_report(p5_pack(spark, d))
+    """How full the containers are, with copies beside copies where nothing else has room, and without."""
+    return pack.fill_report(_packed(spark, d)).withColumn("rule", F.lit("copies give way")).unionByName(pack.fill_report(_packed(spark, d, True)).withColumn("rule", F.lit("strict")))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

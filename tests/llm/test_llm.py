@@ -265,14 +265,41 @@ def test_clean():
 
 def test_content_region_is_the_maximum():
     rnd = random.Random(1)
+    worth = dict(zip(markup.CLASSES, markup.WEIGHTS))
     for _ in range(50):
-        t = [("x", rnd.random() < 0.4, False) for _ in range(30)]
-        score = lambda a, b: sum(markup.TAG_COST if k else markup.WORD for _, k, _ in t[a:b])
+        t = [rnd.choice(("word", "word", "link", "text_tag", "page_tag")) for _ in range(30)]
+        score = lambda a, b: sum(worth[c] for c in t[a:b])
         a, b = markup.content_region(t)
         assert score(a, b) == pytest.approx(max(score(i, j) for i in range(31) for j in range(i, 31)))
-    pages = [([("w", False, False)] * 20 + [("<a>", True, False)] * 10, (0, 20))] * 5
-    w = markup.fit_weights(pages)
-    assert w[0] == 1.0 and w[2] < 0
+
+
+def _page(rnd):
+    """A page that says where its content is, and the content."""
+    words = lambda n: " ".join(rnd.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n))
+    links = lambda n: "".join(f"<div><a href='x'>{words(2)}</a></div>" for _ in range(n))
+    inner = "".join(f"<p>{words(rnd.randint(5, 40))} <b>{words(1)}</b></p>" for _ in range(rnd.randint(2, 6))) + f"<ul><li>{words(2)}</li><li>{words(1)}</li></ul>"
+    return f"<html><body><div class='top'>{links(rnd.randint(3, 12))}<span></span>{'<span></span>' * 60}</div>", inner, f"<div>{links(rnd.randint(3, 9))}</div></body></html>"
+
+
+def test_weights_from_labelled_pages(spark):
+    rnd = random.Random(2)
+    pages = [_page(rnd) for _ in range(40)]
+    w = markup.weights(docs(spark, [f"{a}<main>{c}</main>{z}" for a, c, z in pages[:30]] + ["no page"]))
+    assert w[0] == 1.0 and w[1] < 0 and w[2] < 0 and w[3] < 0
+    for a, c, z in pages[30:]:
+        for worth in (w, markup.WEIGHTS):
+            assert markup.clean(f"{a}<div>{c}</div>{z}", worth).split() == markup.clean(c).split()
+    assert markup.weights(docs(spark, ["<html><body>x</body></html>", None])) == markup.WEIGHTS
+
+
+def test_marks_of_any_length():
+    long = "x_1 + " * 200
+    assert markup.kinds(f"see ${long}y$ there") == ["latex"]
+    assert markup.clean("\\emph{" + "word " * 10_000 + "} end").split() == ["word"] * 10_000 + ["end"]
+    deep = "\\emph{" * 60 + "word" + "}" * 60
+    assert markup.clean(f"a {deep} b") == "a word b"
+    assert markup.clean("[[a]] " + "{{x|" * 30 + "y" + "}}" * 30 + " b").split() == ["a", "b"]
+    assert markup.kinds("*" + "word " * 60 + "word*") == ["markdown"]
 
 
 def test_markup_table(spark):
@@ -525,3 +552,41 @@ def test_many_shards_and_parts_of_a_shard(spark, monkeypatch):
     monkeypatch.setattr(spans, "SHARD", 3)
     monkeypatch.setattr(spans, "STREAM", 900)
     assert {r.record_key: r.shared_chars for r in spans.shared(df).collect()} == brute_shared(rows, 120)
+
+
+def test_clocks(spark):
+    """The assistant's clock is ten seconds behind in a, right in b; in c no offset fits; d has one speaker."""
+    at = lambda s: f"2024-05-01T10:{s // 60:02d}:{s % 60:02d}Z"
+    rows = [(c, r, t) for c, off in (("a", -10), ("b", 0)) for r, t in (("user", 0), ("assistant", 5 + off), ("user", 20), ("assistant", 25 + off))]
+    rows += [("c", "user", 0), ("c", "assistant", 100), ("c", "user", 200), ("c", "assistant", 150), ("c", "user", 40), ("d", "user", 0)]
+    m = spark.createDataFrame([(k, c, r, f"text {k}", None, at(t + 60), 5000 if r == "assistant" else None) for k, (c, r, t) in enumerate(rows)], "id long, chat_id string, role string, content string, sources string, created_at string, duration_ms int")
+    c = spark.createDataFrame([(x, None, None, None, 0) for x in "abcd"], "id string, title string, created_at string, updated_at string, embedded int")
+    got = {r.chat_id: r for r in chats.clock_offsets(c, m).collect()}
+    assert set(got) == {"a", "b", "c"}
+    assert got["a"].offset_s == -10 and got["a"].moved == 2 and not got["a"].infeasible
+    assert got["b"].offset_s == 0 and got["b"].moved == 0 and got["c"].infeasible
+    assert chats.clock_offsets(c, m.where("false")).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 50), st.integers(0, 5), st.sampled_from("abcdef")), max_size=40), st.sampled_from([None, 1, 2, 3]), st.booleans())
+def test_containers_keep_what_they_promise(items, most, strict):
+    items = sorted(items, key=lambda x: (-x[0], x[1], x[2]))
+    got = pack.fill([x[0] for x in items], [x[1] for x in items], [x[2] for x in items], 60, most, strict)
+    per = {}
+    for (size, cluster, source), (b, fits) in zip(items, got):
+        held = per.setdefault(b, [])
+        assert not fits or cluster not in [c for _, c, _ in held]
+        assert not strict or fits
+        held.append((size, cluster, source))
+    for held in per.values():
+        assert sum(s for s, _, _ in held) <= 60 and (most is None or len({s for _, _, s in held}) <= most)
+
+
+def test_mix_parts_are_even_for_small_weights(spark):
+    """Poor documents have large keys; parts by quantile stay alike."""
+    rows = [(i, "a", ("w" if i % 3 else "1") * (1 + i % 7)) for i in range(4000)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    t = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
+    chosen, shares = mix.mix(d, t)
+    assert chosen.count() == 4000 and shares.collect()[0].actual_share == 1.0
