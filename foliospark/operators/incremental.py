@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import written
+
 STATE = ("status", "downloaded_at", "parsed_at", "processed_at", "embedded_at")
 
 
@@ -48,23 +50,29 @@ def changed_per_run(readings: DataFrame, runs: DataFrame) -> DataFrame:
 class IncrementalJob:
     """A job over the files of a folder that handles each version of each file once.
 
-    ``run`` lists the files with size and checksum, anti-joins the listing with the
-    manifest, writes ``make(files)`` to ``out/batch=<id>`` (replacing what a failed
-    attempt left there) and then commits the manifest. The batch id follows from the
-    number of commits, so a repeated attempt writes to the same place.
+    ``run`` lists the files. Those whose size and time the manifest holds are known and
+    not read; of the others size and checksum are anti-joined with the manifest. What is
+    left is written once, content included, as the snapshot of this batch: ``make`` gets
+    the snapshot, and the same snapshot enters the manifest, so a file that changes
+    meanwhile comes again with the next run instead of being taken for processed. The
+    output goes to ``out/batch=<id>`` (replacing what a failed attempt left there), and
+    only then the manifest is committed. The batch id follows from the number of
+    commits, so a repeated attempt writes to the same place. Every ``COMPACT`` commits
+    the manifest is written as a whole, so that reading it does not grow with the runs.
     """
 
-    SCHEMA = T.StructType([T.StructField("path", T.StringType()), T.StructField("size", T.LongType()), T.StructField("checksum", T.StringType())])
+    SCHEMA = T.StructType([T.StructField("path", T.StringType()), T.StructField("modified", T.TimestampType()), T.StructField("size", T.LongType()), T.StructField("checksum", T.StringType())])
+    COMPACT = 50
 
     def __init__(self, spark: SparkSession, source: str, out: str, manifest: str, glob: str = "*"):
         self.spark, self.source, self.out, self.manifest, self.glob = spark, source, out.rstrip("/"), manifest.rstrip("/"), glob
 
-    def _commits(self) -> list[int]:
+    def _done(self, kind: str) -> list[int]:
         fs, path, jvm = self._fs(self.manifest)
         if not fs.exists(path):
             return []
         names = [s.getPath() for s in fs.listStatus(path)]
-        done = [p for p in names if p.getName().startswith("commit=") and fs.exists(jvm.Path(p, "_SUCCESS"))]
+        done = [p for p in names if p.getName().startswith(f"{kind}=") and fs.exists(jvm.Path(p, "_SUCCESS"))]
         return sorted(int(p.getName().split("=")[1]) for p in done)
 
     def _fs(self, at: str):
@@ -73,33 +81,40 @@ class IncrementalJob:
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path, jvm
 
     def listing(self) -> DataFrame:
+        """path, modified, size, content. What does not select the content does not read it."""
         files = self.spark.read.format("binaryFile").option("pathGlobFilter", self.glob).option("recursiveFileLookup", "true").load(self.source)
-        return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("checksum"))
+        return files.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content")
 
     def committed(self) -> DataFrame:
-        done = self._commits()
-        if not done:
+        """The manifest: the last whole one and the commits since."""
+        whole, commits = self._done("whole"), self._done("commit")
+        last = whole[-1] if whole else -1
+        paths = [f"{self.manifest}/whole={last}"] * bool(whole) + [f"{self.manifest}/commit={k}" for k in commits if k > last]
+        if not paths:
             return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.manifest}/commit={k}" for k in done])
+        return self.spark.read.schema(self.SCHEMA).parquet(*paths)
 
     def pending(self) -> DataFrame:
-        return self.listing().join(self.committed(), ["path", "size", "checksum"], "left_anti")
+        """path, modified, size, checksum, content of the files that are new or changed."""
+        known = self.committed()
+        fresh = self.listing().select("path", "modified", "size").join(known, ["path", "modified", "size"], "left_anti").select("path")
+        # the paths that are left are read; others are pruned by the join before their content is hashed
+        files = self.listing().join(fresh, "path", "left_semi").withColumn("checksum", F.sha2("content", 256))
+        return files.join(known, ["path", "size", "checksum"], "left_anti").select("path", "modified", "size", "checksum", "content")
 
     def run(self, make: Callable[[DataFrame], DataFrame]) -> int | None:
         """The batch id, or None if nothing is new. An exception in ``make`` or in writing commits nothing."""
-        done = self._commits()
+        done = self._done("commit")
         batch = done[-1] + 1 if done else 0
-        todo = self.pending().cache()
-        try:
-            if todo.isEmpty():
-                return None
-            make(todo).write.mode("overwrite").parquet(f"{self.out}/batch={batch}")
-            todo.write.mode("overwrite").parquet(f"{self.manifest}/commit={batch}")
-        finally:
-            todo.unpersist()
+        todo = written(self.pending())
+        if todo.isEmpty():
+            return None
+        make(todo).write.mode("overwrite").parquet(f"{self.out}/batch={batch}")
+        todo.drop("content").write.mode("overwrite").parquet(f"{self.manifest}/commit={batch}")
+        if (batch + 1) % self.COMPACT == 0:
+            self.committed().write.mode("overwrite").parquet(f"{self.manifest}/whole={batch}")
         return batch
 
     def results(self) -> DataFrame:
         """The output of committed batches only."""
-        done = self._commits()
-        return self.spark.read.option("basePath", self.out).parquet(*[f"{self.out}/batch={k}" for k in done])
+        return self.spark.read.option("basePath", self.out).parquet(*[f"{self.out}/batch={k}" for k in self._done("commit")])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -82,9 +83,10 @@ def answer_windows(spark, d):
 
 def string_metrics(spark, d):
     r = rows(spark, d).where("error is null and answer is not null").join(questions(spark, d).select("qid", "ideal_answer", "short_answer"), "qid")
-    no = T.is_refusal(F.col("answer"))
-    score = lambda c: F.round(F.when(no, 0.0).otherwise(c), 6)
-    return r.select("parser", "chunker", "qid", no.alias("refusal"), score(T.token_f1("answer", "ideal_answer")).alias("token_f1"), score(T.rouge_l("answer", "ideal_answer")).alias("rouge_l"), score(T.chrf("answer", "ideal_answer")).alias("chrf"), score(T.short_answer_match("short_answer", "answer")).alias("short_match"))
+    r = r.withColumn("no", T.is_refusal(F.col("answer"))).withColumn("s", T.string_scores("answer", "ideal_answer", "short_answer"))
+    match = T.short_answer_match(F.col("short_answer"), F.col("answer"), F.col("s.held"))
+    score = lambda c: F.round(F.when(F.col("no"), 0.0).otherwise(c), 6)
+    return r.select("parser", "chunker", "qid", F.col("no").alias("refusal"), *[score(F.col(f"s.{c}")).alias(c) for c in ("token_f1", "rouge_l", "chrf")], score(match).alias("short_match"))
 
 
 def long_metrics(spark, d):
@@ -97,8 +99,14 @@ def cell_means(spark, d):
     return long_metrics(spark, d).groupBy("cell", "metric").agg(F.round(F.avg("value"), 6).alias("mean"), F.count("value").alias("n"))
 
 
+def exact_mean(c: str) -> Column:
+    """The mean to six places, half up, from whole numbers of 1e-12: the order of the sum can't tell."""
+    total, n = F.sum(F.round(F.col(c) * 1e12).cast("decimal(38,0)")), F.count(c)
+    return F.when(n > 0, F.floor(total / (n * 1_000_000) + F.lit("0.5").cast("decimal(2,1)")).cast("double") / 1e6)
+
+
 def cell_means_by_source(spark, d):
-    return long_metrics(spark, d).groupBy("cell", "source", "metric").agg(F.round(F.avg("value"), 6).alias("mean"))
+    return long_metrics(spark, d).groupBy("cell", "source", "metric").agg(exact_mean("value").alias("mean"))
 
 
 def metric_spread(spark, d):
@@ -224,9 +232,8 @@ SQL = {
     "usable_rows": f"WITH {_R} SELECT parser, chunker, count(*) AS n FROM r WHERE error IS NULL AND gen_error IS NULL AND answer IS NOT NULL GROUP BY ALL",
     "answer_refusals": f"WITH {_R}, a AS (SELECT parser, chunker, regexp_replace(coalesce(answer, ''), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS a FROM r WHERE error IS NULL), m AS (SELECT *, regexp_extract(a, '(?is)^(.*?)(?:{T.REFUSAL[4:]})', 1) AS pre, regexp_matches(a, '{T.REFUSAL.replace(chr(39), chr(39) * 2)}') AS hit FROM a) SELECT parser, chunker, count(*) FILTER (a = '' OR (hit AND (length(pre) < 160 OR {_W.format('a')} <= 40))) AS refusals, count(*) AS n FROM m GROUP BY ALL".replace("can't|can not|unable to) (be )?(find|answer|determine|provide|locate)|(context|documents?|text|excerpts?) (does not|doesn't|", "can''t|can not|unable to) (be )?(find|answer|determine|provide|locate)|(context|documents?|text|excerpts?) (does not|doesn''t|"),
     "answer_numbers": f"WITH {_Q} SELECT qid, list_sort(list_distinct(list_transform(regexp_extract_all(ideal_answer, '({T.NUMBER})', 1), lambda x: CAST(replace(x, ',', '') AS DOUBLE)))) AS numbers FROM q",
-    "usable_cells": "",
     "cell_means": f"WITH {_L} SELECT cell, metric, round(avg(value), 6) AS mean, count(value) AS n FROM l GROUP BY ALL",
-    "cell_means_by_source": f"WITH {_L} SELECT cell, source, metric, round(avg(value), 6) AS mean FROM l GROUP BY ALL",
+    "cell_means_by_source": f"WITH {_L} SELECT cell, source, metric, CASE WHEN count(value) > 0 THEN CAST((2 * sum(CAST(round(value * 1e12) AS HUGEINT)) + count(value) * 1000000) // (2 * count(value) * 1000000) AS DOUBLE) / 1e6 END AS mean FROM l GROUP BY ALL",
     "metric_spread": f"WITH {_L}, m AS (SELECT cell, metric, avg(value) AS m FROM l GROUP BY ALL) SELECT metric, round(max(m) - min(m), 6) AS spread FROM m GROUP BY 1",
     "paired_tests": f"WITH {_P} SELECT * FROM pt",
     "holm_survivors": f"WITH {_P}, {_holm('metric')} SELECT metric, parser, chunker, p, holm FROM hs",
@@ -239,4 +246,3 @@ SQL = {
     "span_in_document": f"WITH {_Q}, s AS (SELECT qid, paper, trim(regexp_replace(answer_span, '[\\s\\p{{Z}}]+', ' ', 'g')) AS span FROM q WHERE paper IS NOT NULL AND length(answer_span) >= 15) SELECT qid, coalesce(bool_or(contains(trim(regexp_replace(d.text, '[\\s\\p{{Z}}]+', ' ', 'g')), span)), false) AS found, count(d.text) AS docs FROM s LEFT JOIN documents d ON d.stem = s.paper AND d.text IS NOT NULL GROUP BY qid",
     "numbered_context": f"WITH {_R} SELECT parser, chunker, qid, array_to_string(list_transform(list_slice(hits, 1, 6), lambda x, i: '[' || i || '] ' || x.filename || chr(10) || x.text), chr(10) || chr(10)) AS context FROM r WHERE error IS NULL AND hits IS NOT NULL",
 }
-del SQL["usable_cells"]

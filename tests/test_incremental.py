@@ -68,3 +68,33 @@ def test_job_survives_failures(spark, tmp_path):
     job.pending().select("path").write.parquet(f"{out}/batch=1")
     assert job.run(lambda f: f.select("path")) == 1
     assert names() == ["a", "b", "b", "c"]
+
+
+def test_a_file_that_changes_while_it_is_processed_comes_again(spark, tmp_path, monkeypatch):
+    src, out, man = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "man")
+    src.mkdir()
+    monkeypatch.setattr(IncrementalJob, "COMPACT", 2)
+    job = IncrementalJob(spark, str(src), out, man)
+    (src / "a").write_text("old")
+
+    def make(files):
+        (src / "a").write_text("newer")
+        return files.select("path", F.col("content").cast("string").alias("said"))
+
+    assert job.run(make) == 0 and [r.said for r in job.results().collect()] == ["old"]
+    assert job.run(lambda f: f.select("path", F.col("content").cast("string").alias("said"))) == 1
+    assert sorted(r.said for r in job.results().collect()) == ["newer", "old"]
+    assert job.run(make) is None and job._done("whole") == [1] and job.committed().count() == 2
+    (src / "b").write_text("third")
+    assert job.run(lambda f: f.select("path", F.lit("x").alias("said"))) == 2 and job.committed().count() == 3
+
+
+def test_written_tables_are_released(spark):
+    import os as _os
+
+    from foliospark import session
+
+    df = session.written(spark.range(3))
+    path = session._written[spark.sparkContext.applicationId][-1]
+    assert df.count() == 3 and _os.path.isdir(path)
+    assert session.release(spark) > 0 and not _os.path.isdir(path)

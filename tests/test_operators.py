@@ -46,7 +46,6 @@ def test_text_metrics():
     assert T.token_f1_py("the cat sat", "a cat sat down") == pytest.approx(0.8)
     assert T.rouge_l_py("a b c d", "a c d") == pytest.approx(2 * 3 / 7)
     assert T.chrf_py("same", "same") == pytest.approx(1.0) and T.chrf_py("", "x") == 0.0
-    assert T.short_answer_match_py("5.0 %", "it is 5 percent") == 1.0 and T.short_answer_match_py("Adam", "it uses SGD") == 0.0
     assert T.span_overlap_py("a b c d", "x a b z d y") == 0.75 and T.span_overlap_py("", "x") == 1.0
 
 
@@ -233,3 +232,28 @@ def test_streams(spark, tmp_path):
     assert got == want
     p = spark.createDataFrame([("2026-01-01 00:00:00", 1), ("2026-01-01 00:20:00", 1), ("2026-01-01 00:25:00", 2)], "at string, done int").withColumn("at", F.col("at").cast("timestamp"))
     assert jobs.stalled(p, 15).count() == 1
+
+
+def test_chrf_against_counters():
+    import random
+    from collections import Counter
+
+    rnd = random.Random(3)
+    for _ in range(60):
+        a, b = ("".join(rnd.choice("abcé 你") for _ in range(rnd.randint(0, 30))) for _ in range(2))
+        x, y = "".join(a.split()), "".join(b.split())
+        got = []
+        for n in range(1, 7):
+            p, q = (Counter(t[i : i + n] for i in range(len(t) - n + 1)) for t in (x, y))
+            if p and q:
+                got.append(((p & q).total() / p.total(), (p & q).total() / q.total()))
+        p, q = (sum(c) / len(got) for c in zip(*got)) if got else (0, 0)
+        want = 5 * p * q / (4 * p + q) if p and q else 0.0
+        assert T.chrf_py(a, b) == pytest.approx(want)
+
+
+def test_short_answers(spark):
+    rows = [("5.0 %", "it is 5 percent", 1.0), ("Adam", "it uses SGD", 0.0), ("Adam", "trained with ADAM.", 1.0), ("1,200", "1200 pages", 1.0), ("10⁻³", "the rate is 10⁻³", 1.0), ("3 and 4", "only 3", 0.0), (None, "x", 0.0), ("", "x", 0.0), ("7", None, 0.0)]
+    df = spark.createDataFrame([(a, b) for a, b, _ in rows], "s string, a string").withColumn("r", T.string_scores("a", "a", "s"))
+    got = df.select(T.short_answer_match(F.col("s"), F.col("a"), F.col("r.held")).alias("m")).collect()
+    assert [x.m for x in got] == [m for _, _, m in rows]
