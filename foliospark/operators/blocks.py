@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import order as O
 
 TYPES = ("title", "authors", "section", "paragraph", "list", "caption", "table", "formula", "footnote")
 
@@ -23,10 +24,9 @@ def said(c: Column) -> Column:
 
 def carry(b: DataFrame) -> DataFrame:
     """Each block with its paper's title (else the stem) and the section it stands in."""
-    w = Window.partitionBy("stem").orderBy("block_ix")
-    section = F.last(F.when(F.col("type") == "section", F.trim("text")), ignorenulls=True).over(w)
     titles = b.where((F.col("type") == "title") & said(F.col("text"))).groupBy("stem").agg(F.min(F.struct("block_ix", "text")).alias("t")).select("stem", F.trim("t.text").alias("title"))
-    return b.withColumn("section", section).join(titles, "stem", "left").withColumn("title", F.coalesce("title", "stem"))
+    b = O.latest(O.parts(b, "stem", "block_ix"), "stem", "block_ix", "section", F.when(F.col("type") == "section", F.trim("text"))).drop(O.PART)
+    return b.join(titles, "stem", "left").withColumn("title", F.coalesce("title", "stem"))
 
 
 def merge_paragraphs(b: DataFrame) -> DataFrame:
@@ -34,16 +34,15 @@ def merge_paragraphs(b: DataFrame) -> DataFrame:
 
     Captions, tables, formulas and footnotes in between do not close it; titles,
     sections, authors and lists do. One open paragraph per paper, so whether one
-    goes on depends on the paragraph before it alone: two windows, no state machine.
+    goes on depends on the wall or paragraph before it alone: no state machine. A
+    paper of any length is split (``order``).
     """
-    w = Window.partitionBy("stem").orderBy("block_ix")
-    walls = F.col("type").isin("title", "section", "authors", "list")
-    p = b.where(said(F.col("text"))).withColumn("wall", F.sum(walls.cast("int")).over(w)).where("type = 'paragraph'")
-    inside = Window.partitionBy("stem", "wall").orderBy("block_ix")
-    begins = F.coalesce(T.ends_terminally(F.lag("text").over(inside)), F.lit(True))
-    p = p.withColumn("para", F.sum(begins.cast("int")).over(inside))
+    wall = F.col("type").isin("title", "section", "authors", "list")
+    p = O.parts(b.where(said(F.col("text")) & (wall | (F.col("type") == "paragraph"))), "stem", "block_ix")
+    p = O.before(p, "stem", "block_ix", "closed", wall | T.ends_terminally(F.col("text")))
+    p = O.running(p, "stem", "block_ix", "para", (~wall & F.coalesce("closed", F.lit(True))).cast("int")).where("type = 'paragraph'")
     parts = F.array_sort(F.collect_list(F.struct("block_ix", "page", F.trim("text").alias("text")))).alias("parts")
-    g = p.groupBy("stem", "wall", "para").agg(parts)
+    g = p.groupBy("stem", "para").agg(parts)
     return g.select("stem", F.col("parts")[0]["block_ix"].alias("block_ix"), F.col("parts")[0]["page"].alias("page"), F.size("parts").alias("n_parts"), F.array_join(F.col("parts.text"), " ").alias("text"))
 
 
@@ -91,8 +90,9 @@ def markdown_blocks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def caption_pairs(b: DataFrame) -> DataFrame:
     """Captions of tables with the table right before or after them."""
-    w = Window.partitionBy("stem").orderBy("block_ix")
-    n = b.withColumn("prev", F.struct(F.lag("type").over(w).alias("type"), F.lag("block_ix").over(w).alias("ix"))).withColumn("next", F.struct(F.lead("type").over(w).alias("type"), F.lead("block_ix").over(w).alias("ix")))
+    here = F.struct(F.col("type").alias("type"), F.col("block_ix").alias("ix"))
+    n = O.parts(b, "stem", "block_ix")
+    n = O.after(O.before(n, "stem", "block_ix", "prev", here), "stem", "block_ix", "next", here)
     c = n.where("type = 'caption'").withColumn("table_ix", F.when(F.col("next.type") == "table", F.col("next.ix")).when(F.col("prev.type") == "table", F.col("prev.ix")))
     return c.select("stem", "block_ix", "table_ix", F.coalesce(F.col("text").rlike(r"(?i)^\s*table\s+\d+"), F.lit(False)).alias("names_table"))
 

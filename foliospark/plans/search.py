@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import order as O
 from ..operators import vectors as V
 from ..session import table
 
@@ -30,6 +31,13 @@ def knn_filtered(spark, d):
     return _search(spark, d, same_label=True).select("query_id", "id", "rank", F.round("distance", 6).alias("distance"))
 
 
+def knn_cells_recall(spark, d):
+    """How much of the exact result the inverted file finds."""
+    e = table(spark, d, "embeddings")
+    near = V.knn_cells(e, e.where("vec_id % 20 = 0"), K).select("query_id", "id", F.lit(1).alias("got"))
+    return _search(spark, d).join(near, ["query_id", "id"], "left").agg(F.count("*").alias("pairs"), F.round(F.count("got") / F.count("*"), 6).alias("recall"))
+
+
 def ir_metrics(spark, d):
     """The label plays the paper: hit, precision, reciprocal rank and nDCG (grade 1, ideal of ten) per query and distance."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
@@ -81,23 +89,21 @@ def unanswered_chats(spark, d):
 
 def qa_pairs(spark, d):
     """The user turn right before an assistant turn (by id), each used once; other roles don't count."""
-    w = Window.partitionBy("chat_id").orderBy("id")
-    m = _messages(spark, d).where("role in ('user', 'assistant')")
-    m = m.withColumn("was", F.lag("role").over(w)).withColumn("q_id", F.lag("id").over(w)).withColumn("q", F.lag("content").over(w))
+    m = O.parts(_messages(spark, d).where("role in ('user', 'assistant')"), "chat_id", "id")
+    m = O.before(m, "chat_id", "id", "b", F.struct("role", "id", "content")).select("*", F.col("b.role").alias("was"), F.col("b.id").alias("q_id"), F.col("b.content").alias("q"))
     return m.where("role = 'assistant' and was = 'user'").select("chat_id", "q_id", F.col("id").alias("a_id"), F.md5(F.concat(F.lit("Q: "), F.coalesce("q", F.lit("")), F.lit("\nA: "), F.coalesce("content", F.lit("")))).alias("doc"))
 
 
 def history_window(spark, d):
     """The last four turns of a chat; long assistant turns are cut at a word."""
-    w = Window.partitionBy("chat_id").orderBy(F.desc("id"))
+    w = Window.partitionBy("chat_id").orderBy(F.desc("id"))  # the limit on the rank is applied before the shuffle
     m = _messages(spark, d).where("role in ('user', 'assistant')").withColumn("k", F.row_number().over(w)).where("k <= 4")
-    return m.select("chat_id", "k", "role", F.when(F.col("role") == "assistant", T.truncate_words(F.col("content"), 120)).otherwise(F.col("content")).alias("content"))
+    return m.select("chat_id", "k", "role", F.when(F.col("role") == "assistant", T.truncate_words(F.col("content"), 1200)).otherwise(F.col("content")).alias("content"))
 
 
 def previous_question(spark, d):
     """Each user turn with the user turn before it: the text a follow-up is searched with."""
-    w = Window.partitionBy("chat_id").orderBy("id")
-    u = _messages(spark, d).where("role = 'user'").withColumn("prev", F.lag("content").over(w))
+    u = O.before(O.parts(_messages(spark, d).where("role = 'user'"), "chat_id", "id"), "chat_id", "id", "prev", F.col("content"))
     return u.select("chat_id", "id", F.concat_ws("\n", "prev", "content").alias("query"))
 
 
@@ -107,7 +113,7 @@ def message_sources(spark, d):
     return _messages(spark, d).select("id", F.when(n > 0, n).otherwise(0).alias("n_sources")).groupBy("n_sources").agg(F.count("*").alias("messages"))
 
 
-_FUNCS = (knn_topk, knn_euclidean, knn_filtered, ir_metrics, ir_cell_means, stems_in_store, chat_counts, unanswered_chats, qa_pairs, history_window, previous_question, message_sources)
+_FUNCS = (knn_topk, knn_euclidean, knn_filtered, knn_cells_recall, ir_metrics, ir_cell_means, stems_in_store, chat_counts, unanswered_chats, qa_pairs, history_window, previous_question, message_sources)
 QUERIES = {f.__name__: f for f in _FUNCS}
 
 
@@ -130,7 +136,7 @@ SQL = {
     "chat_counts": f"WITH {_M}, {_C} SELECT c.chat_id, count(m.id) AS messages, updated_at FROM c LEFT JOIN m USING (chat_id) GROUP BY ALL",
     "unanswered_chats": f"WITH {_M}, {_C} SELECT chat_id FROM c WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.chat_id = c.chat_id AND m.role = 'assistant')",
     "qa_pairs": f"WITH {_M}, w AS (SELECT *, lag(role) OVER o AS was, lag(id) OVER o AS q_id, lag(content) OVER o AS q FROM m WHERE role IN ('user', 'assistant') WINDOW o AS (PARTITION BY chat_id ORDER BY id)) SELECT chat_id, q_id, id AS a_id, md5('Q: ' || coalesce(q, '') || chr(10) || 'A: ' || coalesce(content, '')) AS doc FROM w WHERE role = 'assistant' AND was = 'user'",
-    "history_window": f"WITH {_M}, w AS (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY id DESC) AS k FROM m WHERE role IN ('user', 'assistant')) SELECT chat_id, CAST(k AS INTEGER) AS k, role, CASE WHEN role = 'assistant' AND length(content) > 120 THEN regexp_replace(substring(content, 1, 120), ' [^ ]*$', '') || ' …' ELSE content END AS content FROM w WHERE k <= 4",
+    "history_window": f"WITH {_M}, w AS (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY id DESC) AS k FROM m WHERE role IN ('user', 'assistant')) SELECT chat_id, CAST(k AS INTEGER) AS k, role, CASE WHEN role = 'assistant' AND length(content) > 1200 THEN regexp_replace(substring(content, 1, 1200), ' [^ ]*$', '') || ' …' ELSE content END AS content FROM w WHERE k <= 4",
     "previous_question": f"WITH {_M} SELECT chat_id, id, concat_ws(chr(10), lag(content) OVER (PARTITION BY chat_id ORDER BY id), content) AS query FROM m WHERE role = 'user'",
     "message_sources": f"WITH {_M} SELECT CAST(CASE WHEN sources IS NULL OR NOT json_valid(sources) OR json_type(sources) <> 'ARRAY' THEN 0 ELSE json_array_length(sources) END AS INTEGER) AS n_sources, count(*) AS messages FROM m GROUP BY 1",
 }
