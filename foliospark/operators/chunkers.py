@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import stats as S
 from ..session import written
 
 
@@ -313,4 +314,5 @@ def overlaps(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
 def shape(chunks: DataFrame, size: Column = None) -> DataFrame:
     """Mean, median, least and most characters, and shares of chunks that start or end within a sentence."""
     n = F.length("text")
-    return chunks.agg(F.count("*").alias("chunks"), F.round(F.avg(n), 4).alias("mean"), F.median(n).alias("median"), F.min(n).alias("least"), F.max(n).alias("most"), F.round(F.avg((~T.starts_cleanly(F.col("text"))).cast("double")), 6).alias("mid_start"), F.round(F.avg((~T.ends_terminally(F.col("text"))).cast("double")), 6).alias("mid_end"))
+    one = chunks.agg(F.count("*").alias("chunks"), F.round(F.avg(n), 4).alias("mean"), F.min(n).alias("least"), F.max(n).alias("most"), F.round(F.avg((~T.starts_cleanly(F.col("text"))).cast("double")), 6).alias("mid_start"), F.round(F.avg((~T.ends_terminally(F.col("text"))).cast("double")), 6).alias("mid_end"))
+    return one.join(F.broadcast(S.quantiles(chunks.select(n.alias("n")), "n", {"median": 0.5})), F.lit(True))  # one row each

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import stats as S
+
 STATUSES = ("downloaded", "parsed", "processed", "embedded", "error")
 PENDING = ("downloaded", "parsed", "processed")
 #: Events of the status machine: what creates a paper, what advances it.
@@ -35,7 +37,9 @@ def seconds(a: str, b: str) -> Column:
 def stage_medians(papers: DataFrame) -> DataFrame:
     """Median seconds of each stage; null without samples. An even number of samples averages the two in the middle."""
     stages = (("parse", "downloaded_at", "parsed_at"), ("process", "parsed_at", "processed_at"), ("embed", "processed_at", "embedded_at"), ("total", "downloaded_at", "embedded_at"))
-    return papers.agg(*[F.median(seconds(a, b)).alias(f"{n}_s") for n, a, b in stages], *[F.count(seconds(a, b)).alias(f"{n}_n") for n, a, b in stages])
+    long = papers.select(F.explode(F.array(*[F.struct(F.lit(n).alias("stage"), seconds(a, b).alias("s")) for n, a, b in stages])).alias("x")).select("x.*")
+    m = S.quantiles(long, "s", {"median": 0.5}, by="stage").join(long.groupBy("stage").agg(F.count("s").alias("n")), "stage")  # a row per stage
+    return m.agg(*[F.max(F.when(F.col("stage") == n, F.col("median"))).alias(f"{n}_s") for n, *_ in stages], *[F.coalesce(F.max(F.when(F.col("stage") == n, F.col("n"))), F.lit(0)).alias(f"{n}_n") for n, *_ in stages])
 
 
 def domain_name(c: Column) -> Column:

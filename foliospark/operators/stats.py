@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from . import order as O
+
 ALPHA = 0.05
 PENDING_BELOW = 50
 _TOL = 1e-9
@@ -120,15 +122,9 @@ def cluster_bootstrap(pairs: DataFrame, key: list[str], cluster: str, draws: int
 
 def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     """Ranks with ties averaged, from counts per distinct value: distinct values are range-partitioned and their counts summed per part, so no task sorts all rows."""
-    g = df.groupBy(value).agg(F.count("*").alias("t__"))
-    # sums per coarse range first, then within a range: both windows are partitioned
-    lo, hi = df.agg(F.min(value), F.max(value)).first()  # two numbers
-    g = g.withColumn("at__", F.coalesce(F.least(F.lit(1023), F.floor(F.try_divide(F.col(value) - F.lit(lo), F.lit(hi) - F.lit(lo)) * 1024)), F.lit(0)))
-    per = g.groupBy("at__").agg(F.sum("t__").alias("s__"))
-    per = per.select("at__", (F.sum("s__").over(Window.orderBy("at__")) - F.col("s__")).alias("before__"))  # at most 1024 rows
-    inside = F.sum("t__").over(Window.partitionBy("at__").orderBy(value)) - F.col("t__")
-    g = g.withColumn("in__", inside).join(F.broadcast(per), "at__")
-    return df.join(g.select(value, (F.col("before__") + F.col("in__") + (F.col("t__") + 1) / 2).alias(name)), value)
+    g = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("t__")).withColumn("k__", F.lit(0))
+    g = O.running(O.parts(g, "k__", value), "k__", value, "upto__", F.col("t__"))
+    return df.join(g.select(value, (F.col("upto__") - F.col("t__") + (F.col("t__") + 1) / 2).alias(name)), value)
 
 
 def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -137,7 +133,29 @@ def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
     return d.agg(F.round(F.corr(x, y), 6).alias("pearson"), F.round(F.corr("rx", "ry"), 6).alias("spearman"), F.count("*").alias("n"))
 
 
+def quantiles(df: DataFrame, value: str, ps: dict[str, float], by: str | None = None, disc: tuple[str, ...] = ()) -> DataFrame:
+    """Exact quantiles per group: linear between the two values around the place, or (``disc``) the first value that reaches the share.
+
+    Equal values are counted before the shuffle, and the counts are summed over parts
+    (``order``), so no task holds a group. Nulls are left out; without a value there is
+    no row (``by`` None: one row of nulls).
+    """
+    g = df.where(F.col(value).isNotNull()).select((F.col(by) if by else F.lit(0)).alias("_k"), F.col(value).alias("_v")).groupBy("_k", "_v").agg(F.count("*").alias("_t"))
+    g = O.running(O.parts(g, "_k", "_v"), "_k", "_v", "_upto", F.col("_t"))
+    g = g.join(g.groupBy("_k").agg(F.sum("_t").alias("_n")), "_k")
+    first = lambda place: F.min(F.when(F.col("_upto") > place, F.col("_v")))
+    aggs = [F.max("_n").alias("_n")]
+    for name, p in ps.items():
+        at = F.lit(p) * (F.col("_n") - 1)
+        aggs += [first(F.ceil(F.lit(p) * F.col("_n")) - 1).alias(name)] if name in disc else [first(F.floor(at)).alias(f"{name}_lo"), first(F.ceil(at)).alias(f"{name}_hi")]
+    out = (g.groupBy("_k") if by else g).agg(*aggs)
+    part = lambda p: F.lit(p) * (F.col("_n") - 1) - F.floor(F.lit(p) * (F.col("_n") - 1))
+    cols = [(F.col(n) if n in disc else F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * part(p)).alias(n) for n, p in ps.items()]
+    return out.select(*([F.col("_k").alias(by)] if by else []), *cols)
+
+
 def outlier_cutoffs(df: DataFrame, value: str) -> DataFrame:
     """Percentile 95, mean + 3 population deviations, and Q3 + 1.5 IQR."""
-    q = lambda p: F.percentile(value, F.lit(p))
-    return df.agg(F.round(q(0.95), 6).alias("p95"), F.round(F.avg(value) + 3 * F.stddev_pop(value), 6).alias("mean_3sd"), F.round(q(0.75) + 1.5 * (q(0.75) - q(0.25)), 6).alias("q3_iqr"))
+    q = quantiles(df, value, {"p95": 0.95, "q1": 0.25, "q3": 0.75})
+    m = df.agg((F.avg(value) + 3 * F.stddev_pop(value)).alias("m"))
+    return q.join(F.broadcast(m), F.lit(True)).select(F.round("p95", 6).alias("p95"), F.round("m", 6).alias("mean_3sd"), F.round(F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")), 6).alias("q3_iqr"))  # one row each

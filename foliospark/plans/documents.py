@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import blocks as B
 from ..operators import chunkers as C
+from ..operators import stats as S
 from ..session import table
 
 
@@ -121,7 +122,8 @@ def chunk_shape(spark, d):
 
 def chunk_overlap(spark, d):
     o = C.overlaps(C.recursive_char(docs(spark, d)))
-    return o.agg(F.round(F.avg((F.col("overlap") == 0).cast("double")), 6).alias("none"), F.median(F.when(F.col("overlap") > 0, F.col("overlap"))).alias("median"), F.max("overlap").alias("most"))
+    one = o.agg(F.round(F.avg((F.col("overlap") == 0).cast("double")), 6).alias("none"), F.max("overlap").alias("most"))
+    return one.join(F.broadcast(S.quantiles(o.where("overlap > 0"), "overlap", {"median": 0.5})), F.lit(True))  # one row each
 
 
 def normalized_text(spark, d):

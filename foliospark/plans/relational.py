@@ -11,8 +11,9 @@ from ..session import table
 
 def priority_medians(spark, d):
     """Median and upper median (the element in the middle) of order totals by priority."""
-    o = table(spark, d, "orders").groupBy("o_orderpriority")
-    return o.agg(F.round(F.median("o_totalprice"), 4).alias("median"), F.round(F.expr("percentile_disc(0.5) within group (order by o_totalprice)"), 4).alias("lower_median"), F.count("*").alias("n"))
+    o = table(spark, d, "orders")
+    q = S.quantiles(o, "o_totalprice", {"median": 0.5, "lower_median": 0.5}, by="o_orderpriority", disc=("lower_median",))
+    return q.join(o.groupBy("o_orderpriority").agg(F.count("*").alias("n")), "o_orderpriority").select("o_orderpriority", F.round("median", 4).alias("median"), F.round("lower_median", 4).alias("lower_median"), "n")
 
 
 def customers_without_orders(spark, d):
