@@ -97,6 +97,16 @@ def caption_pairs(b: DataFrame) -> DataFrame:
     return c.select("stem", "block_ix", "table_ix", F.coalesce(F.col("text").rlike(r"(?i)^\s*table\s+\d+"), F.lit(False)).alias("names_table"))
 
 
+def list_groups(b: DataFrame) -> DataFrame:
+    """Runs of list items right after each other as one block: any other block with text closes a run. stem, block_ix (of the first), n_items, text."""
+    p = O.parts(b.where(said(F.col("text"))), "stem", "block_ix")
+    item = F.coalesce(F.col("type") == "list", F.lit(False))
+    p = O.before(p, "stem", "block_ix", "was", item)
+    p = O.running(p, "stem", "block_ix", "run", (item & ~F.coalesce("was", F.lit(False))).cast("int")).where(item)
+    g = p.groupBy("stem", "run").agg(F.array_sort(F.collect_list(F.struct("block_ix", F.trim("text").alias("text")))).alias("parts"))
+    return g.select("stem", F.col("parts")[0]["block_ix"].alias("block_ix"), F.size("parts").cast("bigint").alias("n_items"), F.array_join(F.col("parts.text"), "\n").alias("text"))
+
+
 def table_signature(c: Column) -> Column:
     """Three to eight distinctive cells of a table: at least six characters, not numeric, cut to 40; null if there are fewer than three."""
     cells = F.transform(F.split(c, r"[|\n\t]+"), lambda x: F.trim(x))

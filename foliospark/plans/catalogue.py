@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answers, documents, evaluation, registry, relational, search
+from . import answers, documents, evaluation, registry, relational, retrieval, search
 
-MODULES = (registry, answers, documents, search, relational, evaluation)
+MODULES = (registry, answers, documents, search, relational, evaluation, retrieval)
 FLAGSHIP = "paired_tests"
 
 
