@@ -80,7 +80,9 @@ def _ranked(pairs: DataFrame, k: int, metric: str, same_label: bool) -> DataFram
 def centres(base: DataFrame, cells: int, vector: str = "embedding", sample: int = 20_000, rounds: int = 12, seed: int = 7) -> np.ndarray:
     """Centres of cells by k-means on directions, fitted on at most ``sample`` vectors."""
     held = [r[0] for r in base.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>")).orderBy(F.xxhash64(vector)).limit(sample).toLocalIterator()]
-    x = np.array(held, float).reshape(len(held), -1)
+    if not held:
+        return np.zeros((0, 1))
+    x = np.array(held, float)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     rng = np.random.default_rng(seed)
     c = x[rng.permutation(len(x))[:cells]]

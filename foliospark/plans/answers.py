@@ -89,6 +89,11 @@ def string_metrics(spark, d):
     return r.select("parser", "chunker", "qid", F.col("no").alias("refusal"), *[score(F.col(f"s.{c}")).alias(c) for c in ("token_f1", "rouge_l", "chrf")], score(match).alias("short_match"))
 
 
+def token_scores(spark, d):
+    """The metrics of ``string_metrics`` that SQL can express."""
+    return string_metrics(spark, d).drop("rouge_l")
+
+
 def long_metrics(spark, d):
     """cell, source, paper, qid, metric, value: absent metrics are missing rows, null ones nulls."""
     r = rows(spark, d).where("error is null").withColumn("cell", F.concat_ws("|", "parser", "chunker"))
@@ -198,7 +203,7 @@ def numbered_context(spark, d):
     return rows(spark, d).where("error is null and hits is not null").select("parser", "chunker", "qid", F.array_join(one, "\n\n").alias("context"))
 
 
-_FUNCS = (question_stems, question_complexity, question_checks, candidate_completeness, question_counts, shortlist, usable_rows, answer_refusals, answer_numbers, answer_sentences, answer_windows, string_metrics, cell_means, cell_means_by_source, metric_spread, paired_tests, holm_survivors, parser_verdicts, fixed_sequence, wilcoxon_tests, bootstrap_intervals, metric_correlation, ir_paper_metrics, ir_span_metrics, keyword_recall, span_in_document, numbered_context)
+_FUNCS = (question_stems, question_complexity, question_checks, candidate_completeness, question_counts, shortlist, usable_rows, answer_refusals, answer_numbers, answer_sentences, answer_windows, string_metrics, token_scores, cell_means, cell_means_by_source, metric_spread, paired_tests, holm_survivors, parser_verdicts, fixed_sequence, wilcoxon_tests, bootstrap_intervals, metric_correlation, ir_paper_metrics, ir_span_metrics, keyword_recall, span_in_document, numbered_context)
 QUERIES = {f.__name__: f for f in _FUNCS}
 
 _Q = "q AS (SELECT * FROM dataset WHERE qid IS NOT NULL QUALIFY row_number() OVER (PARTITION BY qid) = 1)"
@@ -245,4 +250,6 @@ SQL = {
     "keyword_recall": f"WITH {_Q}, {_R}, c AS (SELECT parser, chunker, qid, coalesce(array_to_string(list_transform(list_slice(hits, 1, 6), lambda x: x.text), ' '), '') AS ctx FROM r WHERE error IS NULL), k AS (SELECT c.*, list_filter(coalesce(keywords, []), lambda x: trim(x) <> '') AS kws FROM c JOIN q USING (qid)) SELECT parser, chunker, qid, round(CASE WHEN len(kws) > 0 THEN len(list_filter(kws, lambda x: contains({_N.format('ctx')}, {_N.format('x')}))) / len(kws) END, 6) AS keyword_recall, CAST(length(ctx) AS INTEGER) AS context_chars FROM k",
     "span_in_document": f"WITH {_Q}, s AS (SELECT qid, paper, trim(regexp_replace(answer_span, '[\\s\\p{{Z}}]+', ' ', 'g')) AS span FROM q WHERE paper IS NOT NULL AND length(answer_span) >= 15) SELECT qid, coalesce(bool_or(contains(trim(regexp_replace(d.text, '[\\s\\p{{Z}}]+', ' ', 'g')), span)), false) AS found, count(d.text) AS docs FROM s LEFT JOIN documents d ON d.stem = s.paper AND d.text IS NOT NULL GROUP BY qid",
     "numbered_context": f"WITH {_R} SELECT parser, chunker, qid, array_to_string(list_transform(list_slice(hits, 1, 6), lambda x, i: '[' || i || '] ' || x.filename || chr(10) || x.text), chr(10) || chr(10)) AS context FROM r WHERE error IS NULL AND hits IS NOT NULL",
+    "answer_windows": f"WITH {_R}, w AS (SELECT parser, chunker, qid, list_filter(string_split(trim(regexp_replace(answer, '[\\s\\p{{Z}}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM r WHERE answer IS NOT NULL) SELECT parser, chunker, qid, CAST(CASE WHEN len(w) <= 300 THEN 1 ELSE len(range(0, greatest(len(w) - 251, 0) + 1, 250)) END AS INTEGER) AS n_windows, CAST(length(array_to_string(list_slice(w, 1, 300), ' ')) AS INTEGER) AS first_chars FROM w",
+    "answer_sentences": f"WITH {_Q}, s AS (SELECT qid, list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(ideal_answer, '[*_#`>]+', '', 'g'), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1) || '|\\n+'), lambda x: trim(x)), lambda x: len(string_split_regex(x, '\\s+')) >= 4) AS l FROM q WHERE ideal_answer IS NOT NULL) SELECT qid, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS ix, unnest(l) AS sentence FROM s",
 }

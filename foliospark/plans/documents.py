@@ -181,4 +181,10 @@ SQL = {
     "size_outliers": "WITH n AS (SELECT CAST(length(text) AS DOUBLE) AS n FROM documents WHERE text IS NOT NULL) SELECT round(quantile_cont(n, 0.95), 6) AS p95, round(avg(n) + 3 * stddev_pop(n), 6) AS mean_3sd, round(quantile_cont(n, 0.75) + 1.5 * (quantile_cont(n, 0.75) - quantile_cont(n, 0.25)), 6) AS q3_iqr FROM n",
     "normalized_text": r"SELECT doc_id, md5(lower(trim(regexp_replace(translate(text, 'İΣ', 'Iσ'), '[\s\p{Z}]+', ' ', 'g')))) AS md5 FROM documents",
     "truncated_text": r"WITH t AS (SELECT doc_id, trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) <= 200 THEN t ELSE regexp_replace(substring(t, 1, 200), ' [^ ]*$', '') || ' …' END AS text FROM t",
+    "table_signatures": f"WITH {_B}, t AS (SELECT stem, block_ix, list_slice(list_distinct_ordered, 1, 8) AS cells FROM (SELECT stem, block_ix, list_filter(kept, lambda x, i: list_position(kept, x) = i) AS list_distinct_ordered FROM (SELECT stem, block_ix, list_transform(list_filter(list_transform(string_split_regex(text, '[|\\n\\t]+'), lambda x: trim(x)), lambda x: length(x) >= 6 AND NOT regexp_matches(x, '^[\\d.,%±()\\s-]+$')), lambda x: substring(x, 1, 40)) AS kept FROM b WHERE type = 'table' AND text IS NOT NULL))) SELECT stem, block_ix, CASE WHEN len(cells) >= 3 THEN cells END AS cells FROM t",
+    "markdown_blocks": r"""WITH l0 AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, generate_subscripts(ls, 1) AS ln, unnest(ls) AS line FROM l0),
+      k AS (SELECT *, CASE WHEN regexp_matches(line, '^#{1,6}[ \t\r\f\v]+[^\s]') THEN 'section' WHEN regexp_matches(line, '^\s*\|') THEN 'table' WHEN trim(line, ' ') = '' THEN 'blank' ELSE 'paragraph' END AS type FROM l),
+      r AS (SELECT *, sum(CASE WHEN type = 'section' OR was IS NULL OR was <> type THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ln) AS run FROM (SELECT *, lag(type) OVER (PARTITION BY doc_id ORDER BY ln) AS was FROM k)),
+      g AS (SELECT doc_id, run, type, string_agg(trim(line, ' '), chr(10) ORDER BY ln) AS body, string_agg(trim(line, ' '), ' ' ORDER BY ln) AS flow, arg_min(line, ln) AS head FROM r WHERE type <> 'blank' GROUP BY ALL)
+      SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS INTEGER) AS block_ix, type, CASE type WHEN 'section' THEN trim(regexp_replace(head, '^#{1,6}\s+', ''), ' ') WHEN 'table' THEN body ELSE flow END AS text FROM g""".replace("\\\\", "\\"),
 }

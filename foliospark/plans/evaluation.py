@@ -126,7 +126,7 @@ def judge_scores(spark, d):
 _FUNCS = (tables_whole, number_preservation, opening_blocks, recency_questions, arrival_days, parser_chunker_grid, upper_median_hits, distinct_papers_in_context, retrieval_arms, near_span_hits, fact_grid, constrained_draw, prefix_anti, judge_scores)
 QUERIES = {f.__name__: f for f in _FUNCS}
 
-from .answers import _H, _R  # noqa: E402
+from .answers import _H, _Q, _R  # noqa: E402
 from .documents import _B, _CARRY  # noqa: E402
 
 _BAD = T.OPENING_BAD
@@ -140,4 +140,9 @@ SQL = {
     "retrieval_arms": f"WITH {_H}, q1 AS (SELECT parser, chunker, qid, min(rank) FILTER (filename = paper) AS r FROM h GROUP BY ALL) SELECT parser, chunker, count(*) AS n, round(avg(CAST(coalesce(r <= 1, false) AS DOUBLE)), 6) AS recall_1, round(avg(CAST(coalesce(r <= 3, false) AS DOUBLE)), 6) AS recall_3, round(avg(CAST(coalesce(r <= 5, false) AS DOUBLE)), 6) AS recall_5, round(avg(coalesce(1.0 / r, 0)), 6) AS mrr, round(1.96 * sqrt(0.25 / count(*)), 6) AS margin FROM q1 GROUP BY ALL",
     "prefix_anti": f"WITH {_B}, u AS (SELECT DISTINCT stem FROM documents WHERE stem IS NOT NULL AND stem <> ''), p AS (SELECT DISTINCT stem AS paper FROM b) SELECT paper FROM p WHERE NOT EXISTS (SELECT 1 FROM u WHERE starts_with(p.paper, u.stem))",
     "judge_scores": f"WITH {_R} SELECT parser, chunker, qid, greatest(0, least(2, round_even(answer_similarity * 2, 0))) / 2 AS score FROM r WHERE error IS NULL AND answer_similarity IS NOT NULL",
+    "fact_grid": f"""WITH {_Q}, {_R}, f AS (SELECT qid, generate_subscripts(facts, 1) - 1 AS fact_ix, unnest(facts) AS fact FROM q WHERE facts IS NOT NULL),
+      w0 AS (SELECT parser, chunker, qid, list_filter(string_split(trim(regexp_replace(lower(answer), '[\\s\\p{{Z}}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM r WHERE error IS NULL AND answer IS NOT NULL),
+      w AS (SELECT parser, chunker, qid, CASE WHEN len(w) <= 300 THEN [w] ELSE list_transform(range(0, greatest(len(w) - 251, 0) + 1, 250), lambda i: list_slice(w, i + 1, i + 300)) END AS ws FROM w0),
+      h AS (SELECT parser, chunker, w.qid, fact_ix, len(list_filter(ws, lambda x: list_has_all(x, list_filter(string_split(trim(regexp_replace(lower(fact), '[\\s\\p{{Z}}]+', ' ', 'g')), ' '), lambda y: y <> '')))) > 0 AS held FROM f JOIN w ON f.qid = w.qid WHERE length(trim(fact)) > 0)
+      SELECT parser, chunker, qid, round(avg(CAST(held AS DOUBLE)), 6) AS fact_recall, count(*) AS facts FROM h GROUP BY ALL""",
 }

@@ -86,13 +86,16 @@ _RE = T.RECENCY.replace("'", "''")
 _ROUTE = f"""{_M}, u AS (SELECT id, content, list_transform(regexp_extract_all(content, '{_RE}', 1), lambda x: lower(x)) AS ph, regexp_extract(content, '{T.HOW_MANY}', 1) AS hm FROM m WHERE role = 'user' AND content IS NOT NULL),
  w AS (SELECT id, list_min(list_transform(ph, lambda p: CASE WHEN regexp_matches(p, '^last \\d+ days?$') THEN greatest(1, CAST(regexp_extract(p, '(\\d+)', 1) AS INTEGER)) {' '.join(f"WHEN p = '{k}' THEN {v}" for k, v in T.WINDOW_DAYS.items())} ELSE 7 END)) AS days, CASE WHEN hm <> '' THEN least(12, greatest(1, CAST(hm AS INTEGER))) ELSE {Q.ARRIVALS} END AS wanted FROM u),
  rt AS (SELECT id, CASE WHEN days IS NOT NULL THEN 'recency' ELSE 'vector' END AS branch, days, wanted FROM w)"""
-_KEY = "lower(trim(regexp_replace(regexp_replace(replace(strip_accents(coalesce({}, '')), chr(173), ''), '-\\s+', '', 'g'), '[^0-9A-Za-z]+', ' ', 'g')))"
+#: Signs whose compatibility decomposition holds ASCII letters or digits; a letter with accents falls apart into the letter and marks, which are no letters.
+_COMPAT = {"¼": "1⁄4", "½": "1⁄2", "¾": "3⁄4", "ª": "a", "º": "o", "¹": "1", "²": "2", "³": "3", "™": "TM", "ſ": "s", "№": "No", "ﬁ": "fi", "ﬂ": "fl", "⁰": "0", "⁴": "4", "⁵": "5", "⁶": "6", "⁷": "7", "⁸": "8", "⁹": "9", "₂": "2"}
+_PLAIN = "array_to_string(list_transform(string_split(coalesce({}, ''), ''), lambda ch: CASE ch " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _COMPAT.items()) + " WHEN strip_accents(ch) THEN ch ELSE strip_accents(ch) || '´' END), '')"
+_KEY = f"lower(trim(regexp_replace(regexp_replace(replace({_PLAIN}, chr(173), ''), '-\\s+', '', 'g'), '[^0-9A-Za-z]+', ' ', 'g')))"
 _WORDS = "list_filter(string_split({}, ' '), lambda x: x <> '')"
 #: The best share of the span's words in a window of its length; 1 if it stands in the text.
 _OV = """CASE WHEN contains(tk, sk) THEN 1.0 WHEN len(sw) = 0 OR len(tw) = 0 THEN 0.0 ELSE list_max(list_transform(range(1, greatest(len(tw) - len(sw) + 1, 1) + 1), lambda i: list_sum(list_transform(list_distinct(sw), lambda x: least(len(list_filter(sw, lambda y: y = x)), len(list_filter(list_slice(tw, i, i + len(sw) - 1), lambda y: y = x))))))) / len(sw) END"""
 _SCORED = f"""{_Q}, {_H}, k0 AS (SELECT h.*, {_KEY.format('q.answer_span')} AS sk, {_KEY.format('h.text')} AS tk FROM h JOIN q USING (qid)),
  pr0 AS (SELECT DISTINCT sk, tk FROM k0), k1 AS (SELECT sk, tk, {_WORDS.format('sk')} AS sw, {_WORDS.format('tk')} AS tw FROM pr0), ov AS (SELECT sk, tk, contains(tk, sk) AS f, {_OV} AS o FROM k1),
- sc AS (SELECT k0.*, ov.f, ov.o >= {Q.NEAR} AS f_near, coalesce(filename = paper, false) AS own, coalesce(sum(coalesce(length(text), 0)) OVER (PARTITION BY parser, chunker, qid ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM k0 JOIN ov USING (sk, tk))"""
+ sc AS (SELECT k0.*, ov.f, ov.o, ov.o >= {Q.NEAR} AS f_near, coalesce(filename = paper, false) AS own, coalesce(sum(coalesce(length(text), 0)) OVER (PARTITION BY parser, chunker, qid ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM k0 JOIN ov USING (sk, tk))"""
 _IDEAL = sum((2 if i == 0 else 1) / math.log2(i + 2) for i in range(10))
 
 
@@ -109,7 +112,26 @@ def _score_columns() -> str:
 _MISS = f"""{_SCORED}, ms AS (SELECT parser, qid, CAST(NOT bool_or(f) AS INTEGER) AS exact, CAST(NOT bool_or(f) AND NOT coalesce(bool_or(f_near), false) AS INTEGER) AS near FROM sc JOIN q USING (qid) WHERE text IS NOT NULL AND length(q.answer_span) > 0 GROUP BY ALL)"""
 _FENCED = f"{_B}, c AS (SELECT CASE WHEN type IN ('table', 'formula') THEN '~~~' || type || chr(10) || trim(text) || chr(10) || '~~~' ELSE trim(text) END AS text FROM b WHERE trim(coalesce(text, '')) <> ''), e AS (SELECT text, regexp_matches(text, '(?m)^~~~(table|formula)') AS fenced, len(regexp_extract_all(text, '(?m)^~~~(?:table|formula)[ \\t]*$')) AS opened, len(regexp_extract_all(text, '(?m)^~~~[ \\t]*$')) AS closed FROM c)"
 
+
+
+def _common(a: str, b: str) -> str:
+    """Size of the intersection of two lists as multisets."""
+    return f"coalesce(list_sum(list_transform(list_distinct({a}), lambda x: least(len(list_filter({a}, lambda y: y = x)), len(list_filter({b}, lambda y: y = x))))), 0)"
+
+
+_GRAMS = ", ".join(f"list_transform(range(1, greatest(length({{0}}) - {n - 1}, 0) + 1), lambda pos: substr({{0}}, CAST(pos AS INTEGER), {n}))" for n in range(1, 7))
+_NUMS = "list_distinct(list_transform(regexp_extract_all(translate(coalesce({}, ''), '" + T.DIGITS[0] + "', '" + T.DIGITS[1] + "'), '(" + T.NUMBER + ")', 1), lambda x: CAST(replace(x, ',', '') AS DOUBLE)))"
+_REF = T.REFUSAL.replace("'", "''")
+_STRING = f"""{_Q}, r AS (SELECT * FROM rag_round2_rows QUALIFY row_number() OVER (PARTITION BY parser, chunker, qid) = 1),
+ sa AS (SELECT parser, chunker, qid, answer, ideal_answer, short_answer, regexp_replace(answer, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS st, {_KEY.format('answer')} AS ak, {_KEY.format('ideal_answer')} AS ik, {_KEY.format('short_answer')} AS shk, {_NUMS.replace('{}', 'short_answer', 1)} AS need, {_NUMS.replace('{}', 'answer', 1)} AS have,
+  regexp_replace(answer, '[\\s\\p{{Z}}]+', '', 'g') AS h, regexp_replace(coalesce(ideal_answer, ''), '[\\s\\p{{Z}}]+', '', 'g') AS i FROM r JOIN q USING (qid) WHERE r.error IS NULL AND answer IS NOT NULL),
+ sb AS (SELECT *, list_filter(string_split(ak, ' '), lambda x: x NOT IN ('', 'a', 'an', 'the')) AS aw, list_filter(string_split(ik, ' '), lambda x: x NOT IN ('', 'a', 'an', 'the')) AS iw, [{_GRAMS.format('h')}] AS hg, [{_GRAMS.format('i')}] AS ig,
+  st = '' OR (regexp_matches(st, '{_REF}') AND (length(regexp_extract(st, '(?is)^(.*?)(?:{_REF[4:]})', 1)) < 160 OR len(list_filter(string_split(trim(regexp_replace(st, '[\\s\\p{{Z}}]+', ' ', 'g')), ' '), lambda x: x <> '')) <= 40)) AS no FROM sa),
+ sx AS (SELECT *, {_common('aw', 'iw')} AS c, list_filter(list_transform(range(1, 7), lambda n: CASE WHEN len(hg[n]) > 0 AND len(ig[n]) > 0 THEN [{_common('hg[n]', 'ig[n]')} / len(hg[n]), {_common('hg[n]', 'ig[n]')} / len(ig[n])] END), lambda z: z IS NOT NULL) AS sh FROM sb),
+ sy AS (SELECT *, CASE WHEN len(sh) > 0 THEN list_avg(list_transform(sh, lambda z: z[1])) ELSE 0 END AS pr, CASE WHEN len(sh) > 0 THEN list_avg(list_transform(sh, lambda z: z[2])) ELSE 0 END AS rc FROM sx)"""
+
 SQL = {
+    "token_scores": f"WITH {_STRING} SELECT parser, chunker, qid, no AS refusal, round(CASE WHEN no OR c = 0 THEN 0.0 ELSE 2.0 * c / (len(aw) + len(iw)) END, 6) AS token_f1, round(CASE WHEN no OR pr = 0 OR rc = 0 THEN 0.0 ELSE 5 * pr * rc / (4 * pr + rc) END, 6) AS chrf, round(CASE WHEN no THEN 0.0 WHEN len(need) > 0 THEN CAST(len(list_filter(need, lambda n: len(list_filter(have, lambda v: abs(n - v) <= 1e-9 * greatest(1.0, abs(n)))) = 0)) = 0 AS DOUBLE) ELSE CAST(shk <> '' AND contains(ak, shk) AS DOUBLE) END, 6) AS short_match FROM sy",
     "routed_questions": f"WITH {_ROUTE} SELECT id, branch, CAST(days AS INTEGER) AS days, CAST(wanted AS INTEGER) AS wanted FROM rt",
     "arrivals_context": f"{_CUR}, {_ROUTE}, nw AS (SELECT filename, embedded_at, row_number() OVER (ORDER BY embedded_at DESC, filename) AS rank, DATE '{TODAY}' - CAST(embedded_at AS DATE) AS age FROM p WHERE status = 'embedded' AND embedded_at IS NOT NULL QUALIFY rank <= {Q.MOST}), sh AS (SELECT rt.*, nw.*, age < days AS inside, count(*) FILTER (age < days) OVER (PARTITION BY id) AS n FROM rt JOIN nw ON rank <= wanted WHERE branch = 'recency') SELECT id, CAST(rank AS INTEGER) AS rank, filename, CASE WHEN age = 0 THEN 'today' WHEN age = 1 THEN 'yesterday' ELSE strftime(embedded_at, '%Y-%m-%d') END AS arrived, CASE WHEN n = 0 THEN 'nothing new in the last ' || days || ' day(s)' WHEN n < wanted THEN 'only ' || n || ' paper(s) arrived' END AS warning FROM sh WHERE inside OR n = 0",
     "search_sources": "WITH e AS (SELECT *, CASE WHEN label < 8 THEN 'papers' ELSE 'chats' END AS kind FROM embeddings), x AS (SELECT a.vec_id AS query_id, b.kind, b.vec_id AS id, list_cosine_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id AND a.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY d, id) AS rk FROM x) SELECT query_id, kind, CAST(CASE WHEN kind = 'papers' THEN rk ELSE rk + 6 END AS INTEGER) AS rank, id, round(d, 6) AS distance FROM r WHERE rk <= CASE WHEN kind = 'papers' THEN 6 ELSE 2 END",
@@ -118,4 +140,7 @@ SQL = {
     "edge_shares": f"WITH {_FENCED} SELECT count(*) AS chunks, round(avg(CAST(regexp_matches(ltrim(text), '^[a-z,;)\\]]') AS DOUBLE)) FILTER (NOT fenced), 6) AS prose_mid_start, round(avg(CAST(NOT regexp_matches(rtrim(text), '([.!?][\"''”’)\\]]*|~~~)$') AS DOUBLE)) FILTER (NOT fenced), 6) AS prose_mid_end, round(avg(CAST(fenced AS DOUBLE)), 6) AS fenced, round(avg(CAST(opened <> closed AS DOUBLE)) FILTER (fenced), 6) AS broken, count(*) FILTER (length(text) / 5.1 > 0.95 * 512) AS over_length FROM e",
     "parse_loss": f"WITH {_MISS} SELECT parser, CAST(sum(exact) AS BIGINT) AS missing_exact, CAST(sum(near) AS BIGINT) AS missing_near, count(*) AS questions FROM ms GROUP BY parser",
     "parse_loss_tests": f"WITH {_MISS}, ag AS (SELECT 'near' AS metric, a.parser, b.parser AS chunker, count(*) FILTER (a.near > b.near) AS wins, count(*) FILTER (a.near < b.near) AS losses FROM ms a JOIN ms b ON a.qid = b.qid AND a.parser < b.parser GROUP BY ALL), pt AS (SELECT *, round(CASE WHEN wins + losses = 0 THEN 1.0 ELSE least(1.0, 2 * (SELECT sum(exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses) * ln(2))) FROM range(0, 2000) g(i) WHERE i <= least(wins, losses))) END, 6) AS p FROM ag), {_holm('metric')} SELECT parser, chunker AS other, wins AS only_first, losses AS only_second, p, holm FROM hs",
+    "near_span_hits": f"WITH {_SCORED} SELECT parser, chunker, qid, round(max(o), 6) AS overlap, min(rank) FILTER (f_near) AS near_rank FROM sc JOIN q USING (qid) WHERE text IS NOT NULL AND q.answer_span IS NOT NULL GROUP BY ALL",
+    "recency_questions": f"WITH {_ROUTE.replace(_M, 'm AS (SELECT DISTINCT id, content, chr(117) AS role FROM messages)').replace(chr(39) + 'user' + chr(39), 'chr(117)').replace(f'ELSE {Q.ARRIVALS} END AS wanted', 'END AS wanted')} SELECT id, CAST(days AS INTEGER) AS days, CAST(wanted AS INTEGER) AS n FROM rt",
+    "text_keys": f"SELECT doc_id, md5({_KEY.format('text')}) AS key FROM documents",
 }
