@@ -32,9 +32,9 @@ def knn_filtered(spark, d):
 
 
 def knn_cells_recall(spark, d):
-    """How much of the exact result the inverted file finds."""
+    """How much of the exact result the inverted file finds; the vectors of this table lie without clusters, so it takes 40 of 64 cells."""
     e = table(spark, d, "embeddings")
-    near = V.knn_cells(e, e.where("vec_id % 20 = 0"), K).select("query_id", "id", F.lit(1).alias("got"))
+    near = V.knn_cells(e, e.where("vec_id % 20 = 0"), K, 64, 40).select("query_id", "id", F.lit(1).alias("got"))
     return _search(spark, d).join(near, ["query_id", "id"], "left").agg(F.count("*").alias("pairs"), F.round(F.count("got") / F.count("*"), 6).alias("recall"))
 
 
