@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import stats as S
-from ..session import table
+from ..operators.contains import contained
+from ..session import table, written
 
 METRICS = ("paper_hit_5", "mrr_near", "answer_similarity", "answer_keyword_recall")
 BASELINE = "recursive_char"
@@ -190,11 +191,16 @@ def keyword_recall(spark, d):
 
 def span_in_document(spark, d):
     """Does the answer span stand in a document of the question's paper? Equal stems only, spans by containment."""
-    q = questions(spark, d).where("paper is not null and length(answer_span) >= 15").select("qid", "paper", T.norm(F.col("answer_span")).alias("span"))
-    docs = table(spark, d, "documents").where("stem is not null and text is not null").select(F.col("stem").alias("paper"), T.norm(F.col("text")).alias("text"))
-    docs = docs.join(q.select("paper").distinct(), "paper", "left_semi")
-    hit = q.join(docs, "paper", "left").groupBy("qid").agg(F.coalesce(F.bool_or(F.contains("text", F.col("span"))), F.lit(False)).alias("found"), F.count("text").alias("docs"))
-    return hit
+    q = written(questions(spark, d).where("paper is not null and length(answer_span) >= 15").select("qid", "paper", T.norm(F.col("answer_span")).alias("span")))
+    docs = table(spark, d, "documents").where("stem is not null and text is not null").withColumnRenamed("stem", "paper")
+    sizes = written(docs.groupBy("paper").agg(F.count("*").alias("docs"), F.sum(F.octet_length("text")).alias("bytes")).join(q.groupBy("paper").agg(F.sum(F.octet_length("span")).alias("spans")), "paper"))
+    found = contained(
+        q.select(F.col("qid").alias("id"), F.col("paper").alias("group"), "span"),
+        docs.select(F.col("doc_id").alias("id"), F.col("paper").alias("group"), T.norm(F.col("text")).alias("text")),
+        sizes.select(F.col("paper").alias("group"), "bytes", "spans"),
+    )
+    hit = q.join(sizes.select("paper", "docs"), "paper", "left").join(found.select(F.col("id").alias("qid"), F.lit(True).alias("hit")), "qid", "left")
+    return hit.select("qid", F.coalesce("hit", (F.col("span") == "") & F.col("docs").isNotNull(), F.lit(False)).alias("found"), F.coalesce("docs", F.lit(0)).alias("docs"))
 
 
 def numbered_context(spark, d):
